@@ -60,3 +60,11 @@ def words(text: str | None) -> list[bytes]:
     bytes.lower touches only A-Z and bytes.split only those six white-space bytes.
     """
     return text.encode().lower().split() if text else []
+
+
+def texts_of(docs: DataFrame, ids: list, id_col: str, text_col: str) -> list[tuple]:
+    """(id, text) of the rows with the ids of a bounded sample, in the order of ids and texts; distinct."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], f"__id {kind}")
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return sorted({(r[0], r[1] or "") for r in rows.join(F.broadcast(chosen), "__id").collect()})

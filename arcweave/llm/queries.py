@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kn_lm, quality_crf, toxicity
 from ._shared import table
 from .exact_dedup import exact_dedup
 from .source_mix import mix_sources
@@ -26,10 +27,36 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
+#: Order of the language model.
+LM_ORDER = 2
+
 #: Target weights of the sources, in thousandths.
 SHARES = {f"src{i}": 100 if i == 0 else 60 if i < 10 else 36 for i in range(20)}
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.fit(docs, labels, remainder(4) != 2))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_crf.score(docs, quality_crf.fit(docs, labels, remainder(3) != 1))
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = kn_lm.score_corpus(table(spark, sf_dir, "documents"), remainder(10) != 0, LM_ORDER)
+    held = F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARES)
     return out.select("doc_id", F.col("__stream").alias("stream"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__pos").alias("pos"))
@@ -47,7 +74,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_source_mix, op7_exact_dedup, op8_url_filter, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_crf, op4_source_mix, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op10_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+LETTER = re.compile(r"[^\W\d_]")
 #: Chunks kept in a worker's memo; it is emptied when full.
 MEMO = 500_000
 #: A worker's codecs by the digest of their model: its tasks share one memo.
@@ -49,6 +50,7 @@ class Codec:
         order = sorted(self.ids, key=lambda p: (-scores[self.ids[p]], self.ids[p]))
         self.rank = {p: r for r, p in enumerate(order)}
         self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | {c: -1 for p in self.ids for c in p} | self.ids
+        self.words = self._cuts()
         self.splits: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
@@ -69,6 +71,15 @@ class Codec:
             raise ValueError("models with user-defined pieces are not supported")
         return cls([p.piece for p in m.pieces], [p.score for p in m.pieces], kinds, m.trainer_spec.model_type == 2, m.normalizer_spec.add_dummy_prefix)
 
+    def _cuts(self) -> re.Pattern:
+        """Parts of a text that no piece crosses out of: a word, up to white space or a sign that follows
+        a letter in no piece; line ends and tabs on their own, if they are in no piece."""
+        after = "".join(sorted({b for p in self.ids for a, b in zip(p, p[1:], strict=False) if LETTER.match(a) and not LETTER.match(b)} - {SPACE}))
+        alone = "".join(c for c in "\n\t" if c not in self.trie)
+        sign, run = f"(?![{SPACE}{alone}])[\\W\\d_]", f"{LETTER.pattern}++"
+        inner = f"|{run}(?=[{re.escape(after)}])" if after else ""
+        return re.compile((f"[{alone}]|" if alone else "") + f"{SPACE}*+(?:{sign}{inner})*+(?:{run})?+")
+
     # --- BPE: which pieces stay side by side
 
     def merges(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -213,17 +224,22 @@ class Codec:
         return [self.bytes[b] for b in c.encode()]
 
     def _window(self, text: str) -> list[int]:
-        """As stream, for a text that the first window holds whole: no cut is looked for."""
+        """As stream, for BPE and a text that the first window holds whole: no cut is looked for.
+
+        A position has one surviving path whatever the order in which positions are settled, so the
+        furthest go first and the search ends when the text's end has its path.
+        """
         trie, pairs, splits, ids, n, top = self.trie.get, self.pairs.get, self.splits, self.ids, len(text), self.longest
-        back: list[str | None] = ["", *[None] * n]
-        for j in range(n):
-            prev = back[j]
-            if prev is None:
-                continue
-            if text[j] not in self.trie:
+        back: list[str | None] = [None] * (n + 1)
+        open_, prev = [0], ""
+        while back[n] is None:
+            j = open_.pop()
+            prev = back[j] if j else ""
+            if trie(text[j]) is None:
                 back[j + 1] = text[j]
+                open_.append(j + 1)
                 continue
-            for e in range(j + 1, min(n, j + top) + 1):
+            for e in range(j + 1, n + 1 if n - j < top else j + top + 1):
                 p = text[j:e]
                 i = trie(p)
                 if i is None:
@@ -234,6 +250,7 @@ class Codec:
                         ok = self.stay(prev, p)
                     if ok:
                         back[e] = p
+                        open_.append(e)
         out, j = [], n
         while j:
             out.append(back[j])
@@ -242,6 +259,8 @@ class Codec:
 
     def chunk(self, c: str) -> bytes:
         """Ids of a chunk, packed as 32-bit numbers."""
+        if not c:
+            return b""
         if self.bpe and c.startswith(SPACE * 2):
             # Runs of spaces have equal scores, where only the order of merges decides.
             got: list[int] = []
@@ -254,14 +273,14 @@ class Codec:
         return array("i", got).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text. No piece crosses the end of a word, so all paths meet there: words
-        are searched one by one and their ids kept in a memo."""
+        """Ids of a whole text. No piece crosses certain borders (_cuts), so all paths meet there: what
+        lies between them is searched one by one and its ids kept in a memo."""
         if not text:
             return np.empty(0, np.int32)
         text = (SPACE * self.dummy_prefix + text).replace(" ", SPACE)
         if self.inner:
             return np.fromiter(self.stream(text), np.int32)
-        chunks, memo = WORD.findall(text), self.memo
+        chunks, memo = self.words.findall(text), self.memo
         out = list(map(memo.get, chunks))
         if None in out:
             for k, c in enumerate(chunks):
@@ -291,9 +310,6 @@ class Codec:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-
 def _sent(df: DataFrame, model: str):
     m = Codec.load(model)
     parts = (m.pieces, m.scores, m.kinds, m.bpe, m.dummy_prefix)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kn_lm, quality_crf, toxicity
-from ._shared import table
+from ._shared import UPPER, table
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .source_mix import mix_sources
 from .sp_codec import encode_documents
 from .url_filter import oracle as url_oracle
@@ -70,11 +71,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_crf, op4_source_mix, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_crf, op4_source_mix, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op9_ngram_join, op10_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
@@ -82,4 +87,14 @@ ORACLE_SQL: dict[str, str] = {
           doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
     "op8_url_filter": url_oracle(RULES),
+    "op9_ngram_join": f"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+        s as materialized (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [ws]
+            else list_transform(range(1, len(ws) - 1), lambda i: ws[i : i + 2]) end) sh from w),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+        l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+        reach as (select doc_id, doc_id as r from documents union select reach.doc_id, l.b from reach join l on l.a = reach.r)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.r as component_id from documents d left join n using (doc_id)
+        join (select doc_id, min(r) r from reach group by doc_id) m using (doc_id)""",
 }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import kn_lm, quality_crf, toxicity
 from ._shared import UPPER, table
 from .exact_dedup import exact_dedup
+from .kdtree import top_k
+from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .source_mix import mix_sources
 from .sp_codec import encode_documents
@@ -46,12 +48,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), lambda x: x % 20 == 0, k=20, scale=64)
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality_crf.score(docs, quality_crf.fit(docs, labels, remainder(3) != 1))
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, model = kn_lm.score_corpus(table(spark, sf_dir, "documents"), remainder(10) != 0, LM_ORDER)
     held = F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out")
@@ -79,9 +90,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_crf, op4_source_mix, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op9_ngram_join, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_top_k, op3_quality_crf, op4_source_mix, op5_line_dedup, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op9_ngram_join, op10_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) p from embeddings
+          where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.p, c.p), lambda z: z[1] * z[2]))::bigint score
+          from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+        select query_id, n::int as rank, vec_id, score from r where n <= 20""",
+    "op5_line_dedup": """
+        with l as materialized (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from documents where text is not null),
+        w as materialized (select *, len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) n from l),
+        c as materialized (select *, sum(n) over (partition by doc_id order by i) t from w),
+        e as (select a.doc_id, a.i first, min(b.i) last from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.t - a.t + a.n >= 50 group by all
+          union select a.doc_id, max(b.i), a.i from c a join c b on a.doc_id = b.doc_id and b.i <= a.i and a.t - b.t + b.n >= 50 group by a.doc_id, a.i),
+        b as (select e.doc_id, first, last, list(line order by i) x from e join c on c.doc_id = e.doc_id and i between first and last group by all),
+        f as (select *, min((doc_id, first)) over (partition by x) as m from b),
+        cut as (select distinct f.doc_id, c.i from f join c on c.doc_id = f.doc_id and c.i between first and last where (f.doc_id, first) > m)
+        select d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::int as n_lines, coalesce(g.n, 0)::int as n_removed,
+          sha256(coalesce(case when g.n is null then text else g.kept end, '')) as kept_sha256
+        from documents d left join (select c.doc_id, count(cut.i) n, coalesce(string_agg(line, chr(10) order by c.i) filter (cut.i is null), '') kept
+          from c left join cut on cut.doc_id = c.doc_id and cut.i = c.i group by c.doc_id having count(cut.i) > 0) g on g.doc_id = d.doc_id""",
     "op7_exact_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
           doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256

@@ -151,24 +151,45 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     return nnpu(*sparse([t for _, t in rows]), np.array([i in positive for i, _ in rows], bool), prior)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows as (id, score), in any order; null text is the empty text, null and repeated ids stay.
-
-    Rows are scored one by one in Arrow batches; the model has a fixed size of 2^20 numbers.
-    """
+def _scorer(docs: DataFrame, model: Model):
+    """A function of texts that scores them on a worker, with a memo that its tasks share."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
     name = f"{model.weight.sum():.17g}/{model.bias:.17g}/{(model.weight * np.arange(len(model.weight))).sum():.17g}"
 
-    def run(batches):
+    def scores(texts: list[str | None]) -> np.ndarray:
         if name not in MEMOS:
             MEMOS.clear()
             MEMOS[name] = {}
-        m = Model(*sent.value)
+        return score_texts(Model(*sent.value), texts, MEMOS[name])
+
+    return scores
+
+
+def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose texts score below the threshold."""
+    scores, at = _scorer(docs, model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                yield part.filter(pa.array(scores(part.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows as (doc_id, score), in any order; null text is the empty text, null and repeated ids stay.
+
+    Rows are scored one by one in Arrow batches; the model has a fixed size of 2^20 numbers.
+    """
+    scores = _scorer(docs, model)
+
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = score_texts(m, part.column(1).to_pylist(), MEMOS[name])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist()))], ["doc_id", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

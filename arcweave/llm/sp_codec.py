@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LETTER = re.compile(r"[^\W\d_]")
 #: Chunks kept in a worker's memo; it is emptied when full.
-MEMO = 500_000
+MEMO = 600_000
 #: A worker's codecs by the digest of their model: its tasks share one memo.
 CODECS: dict[str, Codec] = {}
 
@@ -280,21 +281,32 @@ class Codec:
         text = (SPACE * self.dummy_prefix + text).replace(" ", SPACE)
         if self.inner:
             return np.fromiter(self.stream(text), np.int32)
-        chunks, memo = self.words.findall(text), self.memo
+        chunks, memo = WORD.findall(text), self.memo
         out = list(map(memo.get, chunks))
         if None in out:
             for k, c in enumerate(chunks):
                 if out[k] is None:
                     got = memo.get(c)
-                    if got is None:
-                        got = self.chunk(c)
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        if len(c) <= 64:
-                            memo[c] = got
-                    out[k] = got
+                    out[k] = self._learn(c) if got is None else got
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word, from those of its parts; both go to the memo."""
+        memo, parts, got = self.memo, self.words.findall(word), []
+        if len(memo) >= MEMO:
+            memo.clear()
+        for c in parts:
+            ids = memo.get(c)
+            if ids is None:
+                ids = self.chunk(c)
+                if len(c) <= 64:
+                    memo[c] = ids
+            got.append(ids)
+        ids = b"".join(got)
+        if len(word) <= 64:
+            memo[word] = ids
+        return ids
+
     def _surface(self, i: int) -> bytes:
         kind = self.kinds[i]
         if kind == "byte":

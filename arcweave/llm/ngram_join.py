@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ._shared import stash, unstash, words
 from .components import components
 
-#: Counters that the order of shingles comes from: a fixed size, sent to all workers.
-COUNTERS = 1 << 22
+#: Fewest and most counters that the order of shingles comes from: most is the bound of what all workers are sent.
+FEWEST, MOST = 1 << 16, 1 << 24
 PIECES = 64
 #: The longest extra prefix that is weighed.
 LONGEST = 8
@@ -50,7 +50,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.nd
     the sum of its shingles' counts, but fewer partners share l of them, at most sum / l, each
     of which costs a verification; l is where the two are least.
     """
-    c = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    c = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
     order = np.argsort((c.astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")
     t = -(-num * len(s) // den)
     most = min(LONGEST, t)
@@ -68,31 +68,45 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Documents per shingle, in COUNTERS counters: of all documents, whole texts."""
+    """Documents per shingle, in counters that shingles share: of all documents, whole texts.
+
+    There are about an eighth as many counters as shingles, within FEWEST and MOST.
+    """
+    letters = texts.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
+    size = min(MOST, max(FEWEST, 1 << max(0, (letters // 50).bit_length() - 1)))
+    part = size // PIECES
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.uint32)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 got = [shingles(t, n) for t in batch.column(0).slice(at, 1024).to_pylist()]
                 if got:
-                    total += np.bincount((np.concatenate(got) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(total, PIECES)]
+                    np.add.at(total, (np.concatenate(got) & np.uint64(size - 1)).astype(np.int64), 1)
+        # Small numbers as bytes, the few larger ones beside them.
+        blobs = []
+        for x in np.split(total, PIECES):
+            big = np.flatnonzero(x > 254).astype(np.uint32)
+            blobs.append(zlib.compress(np.uint32(len(big)).tobytes() + big.tobytes() + x[big].tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["piece", "blob"])
 
     def add(pdfs):
         total = {}
         for pdf in pdfs:
             for k, b in zip(pdf["piece"], pdf["blob"], strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(b), np.uint32).astype(np.uint64)
+                raw = zlib.decompress(b)
+                m = int(np.frombuffer(raw, np.uint32, 1)[0])
+                x = np.frombuffer(raw, np.uint8, part, 4 + 8 * m).astype(np.uint64)
+                x[np.frombuffer(raw, np.uint32, m, 4)] = np.frombuffer(raw, np.uint32, m, 4 + 4 * m)
+                total[k] = total.get(k, 0) + x
         for k, x in total.items():
-            yield pd.DataFrame({"piece": [k], "blob": [x.astype(np.uint64).tobytes()]})
+            yield pd.DataFrame({"piece": [k], "blob": [np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes()]})
 
     parts = texts.mapInArrow(count, "piece int, blob binary").repartition(PIECES, "piece").mapInPandas(add, "piece int, blob binary")
-    out = np.zeros(COUNTERS, np.uint64)  # PIECES rows of a fixed size
+    out = np.zeros(size, np.uint32)  # PIECES rows of a fixed size
     for r in parts.toLocalIterator():
-        out[r[0] * (COUNTERS // PIECES) : (r[0] + 1) * (COUNTERS // PIECES)] = np.frombuffer(r[1], np.uint64)
-    return np.maximum(out, np.uint64(np.median(out))) - np.uint64(np.median(out))
+        out[r[0] * part : (r[0] + 1) * part] = np.frombuffer(r[1], np.uint32)
+    return out - np.minimum(out, np.uint32(np.median(out)))
 
 
 def _close(ham: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -173,16 +187,24 @@ def meet(lists: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
     return rows.select(*names, "sketch").mapInArrow(run, "a long, b long, need int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of num / den or more, exactly."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets have a Jaccard similarity of num / den or more, exactly.
+
+    Texts travel compressed: they are a third of the size of their hashed sets.
+    """
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
-            keep = []
+            keep, known = [], {}
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for z in (x, y):
+                    if z not in known:
+                        if len(known) > 500:
+                            known.clear()
+                        known[z] = shingles(zlib.decompress(z).decode(), n)
+                x, y = (known[z] if z in known else shingles(zlib.decompress(z).decode(), n) for z in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -190,8 +212,21 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A map of at most 16 MB of the ids' hashes, made in pieces."""
+def place(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def bits_for(rows: int) -> int:
+    """Bits of a map of so many rows: eight a row, at most 2^27, which is 16 MB; a fuller map only lets more rows pass."""
+    return 1 << min(27, max(16, (8 * rows).bit_length()))
+
+
+def within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bitmap[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A map of the places of a column's values, made in pieces."""
     size = 1 << 16
 
     def run(pdfs):
@@ -202,7 +237,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
         for k, x in seen.items():
             yield pd.DataFrame({"piece": [k], "blob": [np.packbits(x).tobytes()]})
 
-    rows = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("h")).distinct()
+    rows = rows.select(place(column, bits).alias("h")).distinct()
     rows = rows.select(F.expr(f"cast(h div {size} as int)").alias("piece"), F.expr(f"cast(h % {size} as int)").alias("at"))
     out = np.zeros(bits // 8, np.uint8)
     for r in rows.repartition("piece").mapInPandas(run, "piece int, blob binary").toLocalIterator():
@@ -236,7 +271,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     if not 0 < num <= den:
         raise ValueError("the similarity is a share num / den, above 0")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    sent = spark.sparkContext.broadcast(shingle_counts(docs.select("t"), n).astype(np.uint32))
+    sent = spark.sparkContext.broadcast(shingle_counts(docs.select("t"), n))
 
     def prepare(batches):
         for batch in batches:
@@ -257,34 +292,48 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     known = stash(docs.mapInArrow(prepare, "id long, n long, sig binary, prefix array<long>, ell int, sketch binary"), "sets")
     firsts = known.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     own = known.filter("sig is not null").join(firsts, ["sig", "id"]).dropDuplicates(["sig", "id"])
-    tokens = own.select("id", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("list")).filter("list > 1")
-    lists = tokens.join(shared, "token").join(own.select("id", "n", "ell", "sketch"), "id")
+    own = stash(own.select("id", "n", "ell", "sketch", "prefix"), "own")
+    shared = stash(own.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("list")).filter("list > 1"), "shared")
+    bits = bits_for(shared.count())
+    common = spark.sparkContext.broadcast(_bitmap(shared, "token", bits))
+
+    def only_shared(batches):
+        for batch in batches:
+            ok = within(common.value, batch.column(2).to_numpy())
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    # Most tokens are of one set: the map keeps them from being dealt out again.
+    tokens = own.select("id", F.explode("prefix").alias("token")).select("id", "token", place("token", bits).alias("h"))
+    lists = tokens.mapInArrow(only_shared, "id long, token long").join(shared, "token").join(own.select("id", "n", "ell", "sketch"), "id")
     lists = stash(lists.select("token", "id", "n", "ell", "sketch", "list"), "lists")
+    for df in (own, shared):
+        unstash(df)
 
     first = stash(meet(lists.withColumn("comp", F.col("id")), num, den, whole=False).select("a", "b").distinct(), "first")
     # Whoever has a partner at all is in one of these pairs.
-    total = known.count()
-    bits = 1 << min(27, max(16, (8 * total).bit_length()))
-    having = spark.sparkContext.broadcast(_bitmap(first.select(F.explode(F.array("a", "b")).alias("id")), bits))
+    partners = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    spots = bits_for(partners.count())
+    having = spark.sparkContext.broadcast(_bitmap(partners, "id", spots))
 
-    def whole_sets(batches):
+    def pack(batches):
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            at = np.flatnonzero((having.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1)
-            part = batch.take(pa.array(at))
-            blobs = [shingles(t, n).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "blob"])
-
-    place = F.pmod(F.xxhash64("id"), F.lit(bits)).alias("h")
-    sets = docs.filter("id is not null").select("id", "t", place).mapInArrow(whole_sets, "id long, blob binary").filter("length(blob) > 0")
-    sets = stash(sets, "whole")
-    links = stash(verified(first, sets, num, den), "links")
+            part = batch.filter(pa.array(within(having.value, batch.column(2).to_numpy())))
+            packed = [zlib.compress((t or "").encode(), 1) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+
+    texts = stash(docs.filter("id is not null").select("id", "t", place("id", spots).alias("h")).mapInArrow(pack, "id long, packed binary"), "texts")
+    links = stash(verified(first, texts, n, num, den), "links")
     comps = components(links)
-    placed = lists.join(comps.withColumnRenamed("comp", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id"))
+
+    def only_partners(batches):
+        for batch in batches:
+            yield batch.select(range(6)).filter(pa.array(within(having.value, batch.column(6).to_numpy())))
+
+    rest = lists.withColumn("h", place("id", spots)).mapInArrow(only_partners, lists.schema)
+    placed = rest.join(comps.withColumnRenamed("comp", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id"))
     rest = meet(placed, num, den, whole=True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need")
-    more = stash(verified(rest.select("a", "b"), sets, num, den), "links")
-    for df in (lists, first, sets):
+    more = stash(verified(rest.select("a", "b"), texts, n, num, den), "links")
+    for df in (lists, first, texts):
         unstash(df)
     final = stash(components(links.unionByName(more)), "comps")
     for df in (links, more):

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LETTER = re.compile(r"[^\W\d_]")
-#: Chunks kept in a worker's memo; it is emptied when full.
-MEMO = 600_000
+#: Words and parts kept in a worker's memo. When it is full it becomes the old memo, from which words that come
+#: again are taken over, and the old one before goes.
+MEMO = 500_000
 #: A worker's codecs by the digest of their model: its tasks share one memo.
 CODECS: dict[str, Codec] = {}
 
@@ -55,6 +56,7 @@ class Codec:
         self.splits: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.out = [self._surface(i) for i in range(len(pieces))]
 
     @classmethod
@@ -228,31 +230,32 @@ class Codec:
         """As stream, for BPE and a text that the first window holds whole: no cut is looked for.
 
         A position has one surviving path whatever the order in which positions are settled, so the
-        furthest go first and the search ends when the text's end has its path.
+        steps that go furthest are tried first and the search ends when the text's end has its path.
         """
-        trie, pairs, splits, ids, n, top = self.trie.get, self.pairs.get, self.splits, self.ids, len(text), self.longest
+        trie, pairs, splits, ids, n, top = self.trie, self.pairs, self.splits, self.ids, len(text), self.longest
         back: list[str | None] = [None] * (n + 1)
-        open_, prev = [0], ""
-        while back[n] is None:
-            j = open_.pop()
-            prev = back[j] if j else ""
-            if trie(text[j]) is None:
-                back[j + 1] = text[j]
-                open_.append(j + 1)
-                continue
-            for e in range(j + 1, n + 1 if n - j < top else j + top + 1):
-                p = text[j:e]
-                i = trie(p)
-                if i is None:
+        steps: list[tuple[int, str]] = []  # pieces that may follow settled positions; the last goes furthest
+        j, prev = 0, ""
+        while j < n:
+            if text[j] not in trie:
+                steps.append((j, text[j]))
+            else:
+                for e in range(j + 1, n + 1 if n - j < top else j + top + 1):
+                    p = text[j:e]
+                    if p not in trie:
+                        break
+                    if back[e] is None and (trie[p] >= 0 or e == j + 1):
+                        steps.append((j, p))
+            while True:
+                i, p = steps.pop()
+                j = i + len(p)
+                if back[j] is not None or len(p) > 1 and not (splits[p] if p in splits else self.split(p)):
+                    continue
+                prev = back[i] if i else ""
+                if not prev or prev not in ids or p not in trie or (pairs[prev, p] if (prev, p) in pairs else self.stay(prev, p)):
+                    back[j] = p
                     break
-                if back[e] is None and (e == j + 1 or i >= 0 and (splits[p] if p in splits else self.split(p))):
-                    ok = not prev or prev not in ids or pairs((prev, p))
-                    if ok is None:
-                        ok = self.stay(prev, p)
-                    if ok:
-                        back[e] = p
-                        open_.append(e)
-        out, j = [], n
+        out = []
         while j:
             out.append(back[j])
             j -= len(back[j])
@@ -286,23 +289,28 @@ class Codec:
         if None in out:
             for k, c in enumerate(chunks):
                 if out[k] is None:
-                    got = memo.get(c)
+                    got = self.memo.get(c)
                     out[k] = self._learn(c) if got is None else got
         return np.frombuffer(b"".join(out), np.int32)
 
     def _learn(self, word: str) -> bytes:
         """Ids of a word, from those of its parts; both go to the memo."""
-        memo, parts, got = self.memo, self.words.findall(word), []
-        if len(memo) >= MEMO:
-            memo.clear()
-        for c in parts:
-            ids = memo.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= 64:
-                    memo[c] = ids
-            got.append(ids)
-        ids = b"".join(got)
+        if len(self.memo) >= MEMO:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        ids = old.get(word)
+        if ids is None:
+            got, parts = [], self.words.findall(word)
+            for c in parts:
+                ids = memo.get(c)
+                if ids is None:
+                    ids = old.get(c)
+                    if ids is None:
+                        ids = self.chunk(c)
+                    if len(c) <= 64:
+                        memo[c] = ids
+                got.append(ids)
+            ids = b"".join(got)
         if len(word) <= 64:
             memo[word] = ids
         return ids

@@ -57,13 +57,15 @@ class Model:
         return float(self.weight[word_features(w)].sum())
 
 
-def nnpu(starts, ids, vals, positive: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.15, decay: float = 5e-4, seed: int = 0, fits: int = 3) -> Model:
+def nnpu(starts, ids, vals, positive: np.ndarray, prior: float, unlabelled: np.ndarray | None = None, rounds: int = 150, rate: float = 0.15, decay: float = 5e-4, seed: int = 0, fits: int = 3) -> Model:
     """Fit linear classifiers by the non-negative risk estimator with the logistic loss.
 
     risk = prior * P[loss(+)] + max(0, U[loss(-)] - prior * P[loss(-)]). While the second part is
     below zero, a step goes up its gradient instead, which stops unlabelled positives from being learnt as
-    negatives. Each fit sees a random part of either kind; Adam steps on full batches.
+    negatives. unlabelled: the sample of all texts, of which `prior` are positive, confirmed ones among
+    them; by default, those that aren't confirmed. Each fit sees a random part; Adam steps on full batches.
     """
+    unlabelled = ~positive if unlabelled is None else unlabelled
     n, size = len(starts) - 1, 1 << BITS
     # Features count by how much more often they are in positives than in unlabelled texts, smoothed
     # so that those of few texts, which can't be told from chance, hardly count.
@@ -79,9 +81,9 @@ def nnpu(starts, ids, vals, positive: np.ndarray, prior: float, rounds: int = 15
     rng = np.random.default_rng(seed)
     for _ in range(fits):
         mine = rng.random(n) < 0.9
-        p, u = mine & positive, mine & ~positive
+        p, u = mine & positive, mine & unlabelled
         if not p.any() or not u.any():
-            p, u = positive, ~positive
+            p, u = positive, unlabelled
         np_, nu = max(1, p.sum()), max(1, u.sum())
         w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -147,8 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     rest = docs.select(key).filter(train & key.isNotNull()).orderBy(order, key).limit(max_unlabelled)
     ids = [r[0] for r in pos.collect()], [r[0] for r in rest.collect()]
     rows = texts_of(docs, [*ids[0], *ids[1]], id_col, text_col)
-    positive = set(ids[0])
-    return nnpu(*sparse([t for _, t in rows]), np.array([i in positive for i, _ in rows], bool), prior)
+    positive, others = set(ids[0]), set(ids[1])
+    marks = np.array([(i in positive, i in others) for i, _ in rows], bool)
+    return nnpu(*sparse([t for _, t in rows]), marks[:, 0], prior, marks[:, 1])
 
 
 def _scorer(docs: DataFrame, model: Model):

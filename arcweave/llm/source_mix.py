@@ -71,7 +71,7 @@ def mix_sources(
     Ranks within a stream come from about sqrt(rows) hash buckets: rows are numbered inside a bucket and
     buckets are summed up, so neither a hot source nor the sums meet in one large task. Rows equal in
     every column may swap places; nothing else is left open. Any column may be null. Empty in, empty
-    out. Columns of docs whose names begin with two underscores are kept unless they have the four names above.
+    out. Columns of docs keep their names; those with one of the four names above are replaced.
     """
     if block < 1 or other_share < 1 or not all(isinstance(p, int) and p > 0 for p in shares.values()):
         raise ValueError("shares, other_share and block are whole numbers from 1")
@@ -79,26 +79,27 @@ def mix_sources(
     total = docs.count()
     k = max(1, math.isqrt(total))
     own = [c for c in docs.columns if c not in ("__stream", "__block", "__slot", "__pos")]
-    src = F.col(f"`{source_col}`").cast("string")
+    names = {c: f"c{i}" for i, c in enumerate(own)}  # no name of a column of docs meets one of ours
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    key, src = F.col(names[id_col]).cast("string"), F.col(names[source_col]).cast("string")
     named = F.when(src.isin(*shares), src).otherwise(F.lit(OTHER)) if shares else F.lit(OTHER)
-    kept = docs.select(*[F.col(f"`{c}`") for c in own])
-    rows = kept.withColumns({"__stream": named, "__h": F.xxhash64(F.lit(4), F.col(f"`{id_col}`").cast("string"))}).withColumn("__b", F.pmod("__h", F.lit(k)))
-    sizes = rows.groupBy("__stream", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__stream").orderBy("__b")
-    starts = sizes.withColumn("__before", F.sum("__n").over(before) - F.col("__n")).drop("__n")
-    counts = {r[0]: r[1] for r in sizes.groupBy("__stream").agg(F.sum("__n")).collect()}
+    rows = kept.withColumns({"stream": named, "h": F.xxhash64(F.lit(4), key)}).withColumn("b", F.pmod("h", F.lit(k)))
+    sizes = rows.groupBy("stream", "b").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("stream").orderBy("b")
+    starts = sizes.withColumn("before", F.sum("n").over(before) - F.col("n")).drop("n")
+    counts = {r[0]: r[1] for r in sizes.groupBy("stream").agg(F.sum("n")).collect()}
     plan = phases({s: -(-n // block) for s, n in counts.items()}, dict(shares) | {OTHER: other_share})
-    plan = spark.createDataFrame(plan, "__s string, __lo long, __hi long, __at long, __q long, __p long, __slots array<long>")
-    tie = F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]))]) if own else F.lit(0)
-    inside = Window.partitionBy("__stream", "__b").orderBy("__h", F.col(f"`{id_col}`").cast("string"), "__tie")
-    ranked = rows.withColumn("__tie", tie).withColumn("__i", F.row_number().over(inside) - 1)
-    ranked = ranked.join(F.broadcast(starts), ["__stream", "__b"]) if k * (len(shares) + 1) <= 100_000 else ranked.join(starts, ["__stream", "__b"])
-    ranked = ranked.withColumn("__r", F.col("__before") + F.col("__i")).withColumn("__block", F.expr(f"__r div {block}"))
-    out = ranked.join(F.broadcast(plan), (F.col("__stream") == F.col("__s")) & F.col("__block").between(F.col("__lo"), F.col("__hi")))
-    j = "(__block - __lo)"
-    out = out.withColumn("__slot", F.expr(f"__at + ({j} div __p) * __q + element_at(__slots, cast({j} % __p + 1 as int))"))
-    out = out.withColumn("__pos", F.col("__slot") * block + F.expr(f"__r % {block}"))
-    return out.select(*[F.col(f"`{c}`") for c in own], "__stream", "__block", "__slot", "__pos")
+    plan = spark.createDataFrame(plan, "s string, lo long, hi long, at long, q long, p long, slots array<long>")
+    tie = F.xxhash64(F.to_json(F.struct(*names.values())))
+    inside = Window.partitionBy("stream", "b").orderBy("h", key, "tie")
+    ranked = rows.withColumn("tie", tie).withColumn("i", F.row_number().over(inside) - 1)
+    # Buckets times streams; past a bound on that they're joined by shuffling.
+    starts = F.broadcast(starts) if k * (len(shares) + 1) <= 100_000 else starts
+    ranked = ranked.join(starts, ["stream", "b"]).withColumn("r", F.col("before") + F.col("i")).withColumn("block", F.expr(f"r div {block}"))
+    out = ranked.join(F.broadcast(plan), (F.col("stream") == F.col("s")) & F.col("block").between(F.col("lo"), F.col("hi")))
+    slot = F.expr("at + ((block - lo) div p) * q + element_at(slots, cast((block - lo) % p + 1 as int))")
+    out = out.withColumn("slot", slot).withColumn("pos", F.col("slot") * block + F.expr(f"r % {block}"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("stream").alias("__stream"), F.col("block").alias("__block"), F.col("slot").alias("__slot"), F.col("pos").alias("__pos"))
 
 
 def mixed(docs: DataFrame, shares: dict[str, int], **more) -> DataFrame:

@@ -2,48 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="arcweave-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
+from ..sources.scratch import new_path, shared_dir, stash, unstash
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arcweave-{name}-{uuid.uuid4().hex}"
+__all__ = ["UPPER", "ascii_lower", "new_path", "shared_dir", "stash", "table", "texts_of", "unstash", "words"]
 
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def unstash(df: DataFrame) -> None:
-    """Remove the files of a stashed table that nothing reads any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(col):

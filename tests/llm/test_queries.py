@@ -1,0 +1,45 @@
+"""Registered queries against their SQL, and the pipeline's stages."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from arcweave.llm.queries import ORACLE_SQL, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        c.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    df = QUERIES[name](spark, FOLDER)
+    cols = sorted(df.columns)
+    rel = c.sql(ORACLE_SQL[name])
+    assert sorted(rel.columns) == cols
+    at = [rel.columns.index(x) for x in cols]
+    assert sorted((tuple(r[x] for x in cols) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_rows(spark, name):
+    df = QUERIES[name](spark, FOLDER)
+    assert df.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count() and "doc_id" in df.columns
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names, seen = [], {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.schema == docs.schema or out.columns == docs.columns
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) <= seen
+        names.append(name)
+        seen, docs = set(ids), spark.createDataFrame(out.collect(), docs.schema)
+    got = corpus_pipeline.run(spark, FOLDER).collect()
+    assert {r.doc_id for r in got} == seen and all(r.round_trip for r in got)

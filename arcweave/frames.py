@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -331,9 +332,13 @@ class Frame:
         """A DataFrame with output names, dotted ones as they are."""
         return self.data.select(*[F.col(f"`{s.physical}`").alias(s.output) for s in self.slots if not s.name.startswith("_bound_")])
 
-    def collect(self, as_pandas: bool = False, as_arrow: bool = False) -> Any:
-        """Dicts, or a pandas frame or an Arrow table."""
+    def collect(self, as_pandas: bool = False, as_arrow: bool = False, as_polars: bool = False) -> Any:
+        """Dicts, or a pandas frame, an Arrow table or, where polars is installed, a polars frame."""
         df = self.to_df()
+        if as_polars:
+            import polars
+
+            return polars.from_arrow(df.toArrow())
         if as_pandas:
             return df.toPandas()
         if as_arrow:
@@ -358,6 +363,14 @@ class Frame:
         labels = self.labels.get(self.current or self.root or "", ())
         return FrameSchema(tuple((s.output, kinds[s.physical]) for s in self.slots), self.entity, labels[0] if len(labels) == 1 else None)
 
+    def profile(self) -> dict[str, Any]:
+        """Run the query without keeping rows; its number of rows and seconds."""
+        from pyspark.sql import Observation
+
+        seen, began = Observation(), time.perf_counter()
+        self.data.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        return {"rows": seen.get["rows"], "seconds": time.perf_counter() - began}
+
     def explain(self, mode: str = "logical") -> str:
         """The steps as written, Catalyst's optimised plan, the physical plan, or the plan with sizes."""
         if mode not in EXPLAIN:

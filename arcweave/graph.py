@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -11,6 +12,31 @@ from pyspark.sql import functions as F
 from .schema import GraphSchema
 
 
+@dataclass(frozen=True)
+class Executor:
+    """Where queries are asked to run; Spark's master decides, so this only sets the number of shuffle partitions."""
+
+    kind: str = "local"
+    parallelism: int | None = None
+    memory_limit: int | None = None
+
+    @staticmethod
+    def local(parallelism: int | None = None, memory_limit: int | None = None) -> Executor:
+        return Executor("local", parallelism, memory_limit)
+
+    @staticmethod
+    def ray(num_workers: int | None = None, resources: dict | None = None) -> Executor:
+        return Executor("cluster", num_workers)
+
+
+def LocalExecutor(parallelism: int | None = None, memory_limit: int | None = None) -> Executor:  # noqa: N802
+    return Executor.local(parallelism, memory_limit)
+
+
+def RayExecutor(num_workers: int | None = None) -> Executor:  # noqa: N802
+    return Executor.ray(num_workers)
+
+
 @dataclass(frozen=True)
 class NodeTable:
     """Nodes with the same labels, the first of which is the primary one: _id and typed properties."""
@@ -82,6 +108,15 @@ class HyperTable:
         return self.data.select(F.col("_id").alias("edge_id"), F.lit(self.label).alias("edge_type"), F.explode(each).alias("b")).select("edge_id", "edge_type", "b.*").filter("target_id is not null")
 
 
+@contextlib.contextmanager
+def _tagged(spark: SparkSession, tag: str):
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
 @dataclass(frozen=True)
 class Hypergraph:
     """An immutable handle: tables by label, nothing read until a frame is asked for rows."""
@@ -98,10 +133,12 @@ class Hypergraph:
     # --- building
 
     @staticmethod
-    def connect(uri: str = "memory://", spark: SparkSession | None = None, namespace: str | None = None, snapshot: int | str | None = None, executor: str = "local") -> Hypergraph:
+    def connect(uri: str = "memory://", spark: SparkSession | None = None, namespace: str | None = None, snapshot: int | str | None = None, executor: str | Executor = "local") -> Hypergraph:
         """memory:// is an empty graph; any other address is a folder of Parquet snapshots, of which the latest is
-        opened, or the one with the number or name given. executor is accepted and ignored: Spark's master decides."""
+        opened, or the one with the number or name given. Where queries run is up to Spark's master."""
         spark = spark or SparkSession.builder.getOrCreate()
+        if isinstance(executor, Executor) and executor.parallelism:
+            spark.conf.set("spark.sql.shuffle.partitions", str(executor.parallelism))
         if uri.startswith(("memory://", "local://")) or uri == "local":
             return Hypergraph(spark, namespace=namespace)
         from .sources.store import Store
@@ -191,6 +228,13 @@ class Hypergraph:
 
         return infer(self, rules, mode, rounds)
 
+    def tagged(self, tag: str):
+        """A context whose queries Hypergraph.cancel(tag), called from another thread, stops."""
+        return _tagged(self.spark, tag)
+
+    def cancel(self, tag: str) -> None:
+        self.spark.interruptTag(tag)
+
     def transaction(self):
         from .sources.store import Transaction
 

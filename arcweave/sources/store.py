@@ -130,6 +130,30 @@ class Store:
         return self.save(self.open(snapshot), name)
 
 
+class Ref(int):
+    """The id of an entity that knows its label or type."""
+
+    label: str
+
+    def __new__(cls, id: int, label: str) -> Ref:
+        out = super().__new__(cls, id)
+        out.label = label
+        return out
+
+
+def _end(x: Ref | tuple[str, int]) -> tuple[str, int]:
+    """(label, id) of a Ref or a pair."""
+    if isinstance(x, Ref):
+        return x.label, int(x)
+    if isinstance(x, tuple) and len(x) == 2:
+        return x[0], int(x[1])
+    raise TypeError("an entity is what create_node gives, or (label, id)")
+
+
+def _entity(target: Ref | str, id: int | None) -> tuple[str, int]:
+    return _end(target) if id is None else (target, int(id))
+
+
 class Transaction:
     """Writes that become one new snapshot (or, without a store, a new graph) when committed.
 
@@ -154,26 +178,30 @@ class Transaction:
         self._next += 1
         return self._next
 
-    def create_node(self, label: str, **properties: Any) -> int:
+    def create_node(self, label: str, **properties: Any) -> Ref:
         self._use()
-        i = self._id()
-        self._ops.append(("node", label, {"_id": i} | properties))
+        i = Ref(self._id(), label)
+        self._ops.append(("node", label, {"_id": int(i)} | properties))
         return i
 
-    def create_edge(self, edge_type: str, source: tuple[str, int], target: tuple[str, int], **properties: Any) -> int:
-        """source, target: (label, id)."""
+    def create_edge(self, edge_type: str, source: Ref | tuple[str, int], target: Ref | tuple[str, int], **properties: Any) -> Ref:
+        """source, target: what create_node gave, or (label, id)."""
         self._use()
-        i = self._id()
-        self._ops.append(("edge", (edge_type, source[0], target[0]), {"_id": i, "_src": source[1], "_dst": target[1]} | properties))
+        source, target = _end(source), _end(target)
+        i = Ref(self._id(), edge_type)
+        self._ops.append(("edge", (edge_type, source[0], target[0]), {"_id": int(i), "_src": source[1], "_dst": target[1]} | properties))
         return i
 
-    def create_hyperedge(self, label: str, bindings: list[tuple[str, str, int]], **properties: Any) -> int:
-        """bindings: (role, label, id); a role may come several times."""
+    def create_hyperedge(self, label: str, bindings: dict[str, Ref | tuple[str, int]] | list[tuple[str, str, int]], **properties: Any) -> Ref:
+        """bindings: entity by role, or (role, label, id) where a role comes several times."""
         self._use()
+        if isinstance(bindings, dict):
+            bindings = [(role, *_end(x)) for role, x in bindings.items()]
         if len(bindings) < 2:
             raise ValueError("a hyperedge binds two or more")
-        i = self._id()
-        self._ops.append(("hyper", label, {"_id": i} | properties, bindings))
+        bindings = [(r, to, int(n)) for r, to, n in bindings]
+        i = Ref(self._id(), label)
+        self._ops.append(("hyper", label, {"_id": int(i)} | properties, bindings))
         return i
 
     def insert_nodes(self, label: str, data: DataFrame, id: str = "_id") -> None:
@@ -185,22 +213,22 @@ class Transaction:
         self._use()
         self._ops.append(("edges", edge_type, data, src, dst, id))
 
-    def update(self, label: str, id: int, **properties: Any) -> None:
-        """Set properties of a node, an edge or a hyperedge of a label or type."""
+    def update(self, target: Ref | str, id: int | None = None, **properties: Any) -> None:
+        """Set properties of a node, an edge or a hyperedge: what a create gave, or a label or type and an id."""
         self._use()
-        self._ops.append(("update", label, id, properties))
+        self._ops.append(("update", *_entity(target, id), properties))
 
-    def delete_node(self, label: str, id: int) -> None:
+    def delete_node(self, target: Ref | str, id: int | None = None) -> None:
         self._use()
-        self._ops.append(("drop node", label, id))
+        self._ops.append(("drop node", *_entity(target, id)))
 
-    def delete_edge(self, edge_type: str, id: int) -> None:
+    def delete_edge(self, target: Ref | str, id: int | None = None) -> None:
         self._use()
-        self._ops.append(("drop edge", edge_type, id))
+        self._ops.append(("drop edge", *_entity(target, id)))
 
-    def delete_hyperedge(self, label: str, id: int) -> None:
+    def delete_hyperedge(self, target: Ref | str, id: int | None = None) -> None:
         self._use()
-        self._ops.append(("drop hyper", label, id))
+        self._ops.append(("drop hyper", *_entity(target, id)))
 
     def pending_count(self) -> int:
         return len(self._ops)

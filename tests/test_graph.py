@@ -191,3 +191,14 @@ def test_edges_of_two_role_hyperedges(spark):
     g = aw.Hypergraph(spark).with_nodes("N", spark.createDataFrame([(1,), (2,)], "_id long")).with_hyperedges("LINK", rows, [("source", "N", "a"), ("target", "N", "b")])
     assert g.edge_types() == ["LINK"]
     assert g.nodes("N").expand("LINK", to="N", as_="x", edge_as="e").select(x=col("x.id"), w=col("e.w")).collect() == [{"x": 2, "w": 9.0}]
+
+
+def test_profile_tags_and_executors(spark, people):
+    assert people.nodes("Person").profile()["rows"] == 7
+    with people.tagged("mine"):
+        assert "mine" in spark.getTags()
+    assert "mine" not in spark.getTags()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    aw.connect("memory://", spark, executor=aw.Executor.local(parallelism=3))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -72,3 +72,20 @@ def test_schema(spark):
     got = sorted((r.kind, r.property) for r in g.with_schema(s).violations().collect())
     assert got == [("DanglingReference", "_dst"), ("MissingEntity", None), ("NotUnique", "k"), ("NotUnique", "k"), ("NullNotAllowed", "k")]
     assert g.nodes("A").filter(col("k") == "x").count() == 2
+
+
+def test_entities_by_what_create_gave(spark):
+    t = aw.connect("memory://", spark).transaction()
+    a, b = t.create_node("A", x=1), t.create_node("B", x=2)
+    e = t.create_edge("E", a, b)
+    h = t.create_hyperedge("H", {"left": a, "right": b}, w=1.0)
+    t.update(a, x=5)
+    t.delete_edge(e)
+    g = t.commit()
+    assert g.nodes("A").select("x").collect() == [{"x": 5}] and g.edge_count("E") == 0
+    assert g.hyperedges("H").expand("right", as_="r").select(i=col("r.id"), x=col("r.x")).collect() == [{"i": b, "x": 2}]
+    t = g.transaction()
+    t.delete_hyperedge(h)
+    assert t.commit().hyperedge_count("H") == 0
+    with pytest.raises(TypeError):
+        g.transaction().create_edge("E", 1, 2)

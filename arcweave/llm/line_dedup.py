@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stash, unstash
+from .bitmap import bitmap, bits_for, filtered
 
 
 def _reach(text: str | None, min_words: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
@@ -128,22 +129,29 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     replace columns of docs so named. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
-    text = F.col(f"`{text_col}`").cast("string")
-    u = F.xxhash64(F.lit(5), text)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), u.alias("u"), text.alias("text")).filter("text is not null")
+    names = {c: f"c{i}" for i, c in enumerate(own)}  # no name of a column of docs meets one of ours
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    key, kind = F.col(names[id_col]), docs.schema[text_col].dataType
+    text = F.col(names[text_col]).cast("string")
+    whole = whole.withColumns({"id": key, "u": F.xxhash64(F.lit(5), text)})
+    rows = whole.select("id", "u", text.alias("text")).filter("text is not null")
     lines = stash(line_table(rows, min_words), "lines")
     most = lines.agg(F.greatest(F.max("ahead"), F.max("behind")).alias("m")).first().m or 0
     levels = doubling(lines, most)
     late = repeated_blocks(lines, levels)
-    cuts = stash(late.groupBy("id", "u").agg(F.collect_set(F.struct("first", "size")).alias("__cuts")), "cuts")
+    cuts = stash(late.groupBy("id", "u").agg(F.collect_set(F.struct("first", "size")).alias("cuts")), "cuts")
     for df in (lines, *levels):
         unstash(df)
-    whole = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("__u", u)
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("u").alias("__u2"), "__cuts")
-    out = whole.join(cuts, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__u") == F.col("__u2")), "left")
+    # Most texts lose nothing: a map of those that do keeps the others from being dealt out.
+    bits = bits_for(cuts.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(cuts, bits, "id", "u"))
+    right = cuts.select(F.col("id").alias("id2"), F.col("u").alias("u2"), "cuts")
+    some = filtered(whole, sent, bits, ["id", "u"]).join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("u") == F.col("u2")), "left")
+    others = filtered(whole, sent, bits, ["id", "u"], keep=False).withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType))
+    out = some.select(*whole.columns, "cuts").unionByName(others)
     parts = F.split(text, "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.exists("__cuts", lambda c: (i >= c["first"]) & (i < c["first"] + c["size"])))
-    out = out.withColumns({"__n_lines": F.coalesce(F.size(parts), F.lit(0)), "__kept": F.when(F.col("__cuts").isNotNull(), kept)})
-    out = out.withColumn("__n_removed", F.when(F.col("__cuts").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__kept")))
-    fresh = F.when(F.col("__cuts").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join("__kept", "\n").cast(docs.schema[text_col].dataType))
-    return out.select(*[fresh.alias(c) if c == text_col else F.col(f"`{c}`") for c in own], F.when(text.isNull(), 0).otherwise(F.col("__n_lines")).alias("__n_lines"), "__n_removed")
+    kept = F.filter(parts, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i < c["first"] + c["size"])))
+    out = out.withColumns({"lines": F.when(text.isNull(), 0).otherwise(F.size(parts)), "kept": F.when(F.col("cuts").isNotNull(), kept)})
+    removed = F.when(F.col("cuts").isNull(), 0).otherwise(F.col("lines") - F.size("kept"))
+    fresh = F.when(F.col("cuts").isNull(), F.col(names[text_col])).otherwise(F.array_join("kept", "\n").cast(kind))
+    return out.select(*[(fresh if c == text_col else F.col(n)).alias(c) for c, n in names.items()], F.col("lines").alias("__n_lines"), removed.alias("__n_removed"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stash, unstash, words
+from .bitmap import bitmap, bits_for, filtered, place, within
 from .components import components
 
 #: Fewest and most counters that the order of shingles comes from: most is the bound of what all workers are sent.
@@ -212,39 +213,6 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def place(column: str, bits: int):
-    return F.pmod(F.xxhash64(column), F.lit(bits))
-
-
-def bits_for(rows: int) -> int:
-    """Bits of a map of so many rows: eight a row, at most 2^27, which is 16 MB; a fuller map only lets more rows pass."""
-    return 1 << min(27, max(16, (8 * rows).bit_length()))
-
-
-def within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bitmap[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
-
-
-def _bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A map of the places of a column's values, made in pieces."""
-    size = 1 << 16
-
-    def run(pdfs):
-        seen = {}
-        for pdf in pdfs:
-            for piece, at in pdf.groupby("piece")["at"]:
-                seen.setdefault(piece, np.zeros(size, np.uint8))[at.to_numpy()] = 1
-        for k, x in seen.items():
-            yield pd.DataFrame({"piece": [k], "blob": [np.packbits(x).tobytes()]})
-
-    rows = rows.select(place(column, bits).alias("h")).distinct()
-    rows = rows.select(F.expr(f"cast(h div {size} as int)").alias("piece"), F.expr(f"cast(h % {size} as int)").alias("at"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows.repartition("piece").mapInPandas(run, "piece int, blob binary").toLocalIterator():
-        out[r[0] * size // 8 : (r[0] + 1) * size // 8] = np.frombuffer(r[1], np.uint8)
-    return out
-
-
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link at a Jaccard similarity of num / den or more.
 
@@ -295,16 +263,11 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     own = stash(own.select("id", "n", "ell", "sketch", "prefix"), "own")
     shared = stash(own.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("list")).filter("list > 1"), "shared")
     bits = bits_for(shared.count())
-    common = spark.sparkContext.broadcast(_bitmap(shared, "token", bits))
-
-    def only_shared(batches):
-        for batch in batches:
-            ok = within(common.value, batch.column(2).to_numpy())
-            yield batch.select([0, 1]).filter(pa.array(ok))
+    common = spark.sparkContext.broadcast(bitmap(shared, bits, "token"))
 
     # Most tokens are of one set: the map keeps them from being dealt out again.
-    tokens = own.select("id", F.explode("prefix").alias("token")).select("id", "token", place("token", bits).alias("h"))
-    lists = tokens.mapInArrow(only_shared, "id long, token long").join(shared, "token").join(own.select("id", "n", "ell", "sketch"), "id")
+    tokens = filtered(own.select("id", F.explode("prefix").alias("token")), common, bits, ["token"])
+    lists = tokens.join(shared, "token").join(own.select("id", "n", "ell", "sketch"), "id")
     lists = stash(lists.select("token", "id", "n", "ell", "sketch", "list"), "lists")
     for df in (own, shared):
         unstash(df)
@@ -313,7 +276,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     # Whoever has a partner at all is in one of these pairs.
     partners = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     spots = bits_for(partners.count())
-    having = spark.sparkContext.broadcast(_bitmap(partners, "id", spots))
+    having = spark.sparkContext.broadcast(bitmap(partners, spots, "id"))
 
     def pack(batches):
         for batch in batches:
@@ -321,15 +284,11 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
             packed = [zlib.compress((t or "").encode(), 1) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
-    texts = stash(docs.filter("id is not null").select("id", "t", place("id", spots).alias("h")).mapInArrow(pack, "id long, packed binary"), "texts")
+    texts = stash(docs.filter("id is not null").select("id", "t", place(spots, "id").alias("h")).mapInArrow(pack, "id long, packed binary"), "texts")
     links = stash(verified(first, texts, n, num, den), "links")
     comps = components(links)
 
-    def only_partners(batches):
-        for batch in batches:
-            yield batch.select(range(6)).filter(pa.array(within(having.value, batch.column(6).to_numpy())))
-
-    rest = lists.withColumn("h", place("id", spots)).mapInArrow(only_partners, lists.schema)
+    rest = filtered(lists, having, spots, ["id"])
     placed = rest.join(comps.withColumnRenamed("comp", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id"))
     rest = meet(placed, num, den, whole=True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need")
     more = stash(verified(rest.select("a", "b"), texts, n, num, den), "links")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, shared_dir, stash, unstash
 
-__all__ = ["UPPER", "ascii_lower", "new_path", "shared_dir", "stash", "table", "texts_of", "unstash", "words"]
+__all__ = ["UPPER", "ascii_lower", "new_path", "sample_ids", "shared_dir", "stash", "table", "texts_of", "unstash", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,6 +28,19 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def sample_ids(rows: DataFrame, total: int, most: int, salt: int) -> list:
+    """At most `most` distinct values of rows' one column, those with the smallest hashes.
+
+    Only values below a hash that about twice as many meet are sorted, so no task or driver gets
+    more rows than that, however many rows there are.
+    """
+    key = rows.columns[0]
+    place = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40))
+    limit = min(1 << 40, int((2 * most + 100) / max(1, total) * (1 << 40)))
+    found = rows.filter(place < limit).distinct().orderBy(place, key).limit(most)
+    return [r[0] for r in found.collect()]
+
+
 def texts_of(docs: DataFrame, ids: list, id_col: str, text_col: str) -> list[tuple]:
     """(id, text) of the rows with the ids of a bounded sample, in the order of ids and texts; distinct."""
     kind = docs.schema[id_col].dataType.simpleString()

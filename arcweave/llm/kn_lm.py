@@ -172,8 +172,8 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", folder: str |
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
     shards = max(64, texts.rdd.getNumPartitions() // 4)
 
-    # Where n-grams are kept may depend on a sample; what is counted doesn't.
-    seen = texts.sample(0.02, 17).limit(2000).collect()
+    # Where n-grams are kept may depend on a sample, of bounded size; what is counted doesn't.
+    seen = texts.select(F.substring("t", 1, 20_000)).sample(0.02, 17).limit(2000).collect()
     sample, _ = windows([r[0] for r in seen], order)
     hot = {}
     for n in range(2, order + 1):

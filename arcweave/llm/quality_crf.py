@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import texts_of
+from ._shared import sample_ids, texts_of
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Names of a line's own features; the neighbours' are the same ones of the lines before and after.
@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_c
     key = F.col(f"`{id_col}`")
     cond = F.lit(True) if train_on is None else train_on
     known = labels.select(key, F.col(f"`{label_col}`").cast("int").alias("y")).filter(cond & key.isNotNull() & F.col("y").isNotNull())
-    order = F.xxhash64(key, F.lit(13))
-    got = {y: [r[0] for r in known.filter(F.col("y") == y).select(key).distinct().orderBy(order, key).limit(max_each).collect()] for y in (0, 1)}
+    sizes = dict(known.filter("y in (0, 1)").groupBy("y").count().collect())
+    got = {y: sample_ids(known.filter(F.col("y") == y).select(key), sizes.get(y, 0), max_each, 13) for y in (0, 1)}
     rows = texts_of(docs, got[0] + got[1], id_col, text_col)
     best = set(got[1])
     good = np.array([i in best for i, _ in rows], bool)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import texts_of
+from ._shared import sample_ids, texts_of
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -144,13 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     if not stats.p:
         return Model(np.zeros(1 << BITS), float(np.log(0.001 / 0.999)))
     prior = min(0.5, max(0.001, stats.p / stats.n))
-    order = F.xxhash64(key, F.lit(11))
-    pos = known.filter("y = 1").select(key).distinct().orderBy(order, key).limit(max_positive)
-    rest = docs.select(key).filter(train & key.isNotNull()).orderBy(order, key).limit(max_unlabelled)
-    ids = [r[0] for r in pos.collect()], [r[0] for r in rest.collect()]
-    rows = texts_of(docs, [*ids[0], *ids[1]], id_col, text_col)
-    positive, others = set(ids[0]), set(ids[1])
-    marks = np.array([(i in positive, i in others) for i, _ in rows], bool)
+    confirmed = sample_ids(known.filter("y = 1").select(key), stats.p, max_positive, 11)
+    others = sample_ids(docs.select(key).filter(train & key.isNotNull()), docs.count(), max_unlabelled, 12)
+    rows = texts_of(docs, [*confirmed, *others], id_col, text_col)
+    confirmed, others = set(confirmed), set(others)
+    marks = np.array([(i in confirmed, i in others) for i, _ in rows], bool)
     return nnpu(*sparse([t for _, t in rows]), marks[:, 0], prior, marks[:, 1])
 
 

@@ -263,7 +263,8 @@ class Expr:
 
 def _length(s, e: Expr) -> Column:
     c = e.build(s)
-    return F.size(c) if isinstance(s.type_of(c), (T.ArrayType, T.MapType)) else F.length(c)
+    n = F.size(c) if isinstance(s.type_of(c), (T.ArrayType, T.MapType)) else F.length(c)
+    return n.cast("long")
 
 
 def col(name: str) -> Expr:

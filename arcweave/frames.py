@@ -322,8 +322,9 @@ class Frame:
                 c = getattr(F, f[0])(self._column(f[1]), *(f[2:] or (1,)))
             else:
                 c = getattr(F, f)()
-            slot = Slot(None, name, physical(None, name))
-            out = replace(out, data=out.data.withColumn(slot.physical, c.over(w)), slots=(*out.slots, slot), plan=(*out.plan, f"Window({name})"))
+            slot, c = Slot(None, name, physical(None, name)), c.over(w)
+            c = c.cast("long") if isinstance(f, str) else c
+            out = replace(out, data=out.data.withColumn(slot.physical, c), slots=(*out.slots, slot), plan=(*out.plan, f"Window({name})"))
         return out
 
     # --- results

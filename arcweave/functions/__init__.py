@@ -295,7 +295,7 @@ def l2_norm(a: Any) -> Expr:
 
 
 def vector_dim(a: Any) -> Expr:
-    return call("VECTOR_DIM", F.size, a)
+    return call("VECTOR_DIM", lambda x: F.size(x).cast("long"), a)
 
 
 # --- collections

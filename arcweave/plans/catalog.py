@@ -271,7 +271,7 @@ def agg_mode(g):
     return g.nodes("Customer").group_by(n=col("c_nationkey")).agg(mode=fn.mode("c_mktsegment"))
 
 
-@query("select sum(distinct p_size) as s, round(avg(distinct p_size), 6) as a from part")
+@query("select cast(sum(distinct p_size) as bigint) as s, round(avg(distinct p_size), 6) as a from part")
 def agg_distinct_flag(g):
     return g.nodes("Part").agg(s=sum_("p_size", distinct=True), a=avg("p_size", distinct=True)).select(s=col("s"), a=fn.round_(col("a"), 6))
 
@@ -588,7 +588,7 @@ def fn_array(g):
     return g.nodes("Part").select(id=col("id"), a=w.contains_element("a"), n=w.size(), f=w.get(0), none=w.get(99), i=col("p_size").contains_element([1, 2, 3]))
 
 
-@query("select cast(r_regionkey as bigint) as id, r_name as name, cast(r_regionkey as varchar) as k, 2 as n, 'Region' as label from region")
+@query("select cast(r_regionkey as bigint) as id, r_name as name, cast(r_regionkey as varchar) as k, cast(2 as bigint) as n, 'Region' as label from region")
 def fn_map(g):
     p = fn.properties(col("Region"))
     return g.nodes("Region").select(id=fn.id_(col("Region")), name=p.get("r_name"), k=p.get("r_regionkey"), n=p.keys().size(), label=fn.labels(col("Region")).get(0))

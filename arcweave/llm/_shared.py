@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, shared_dir, stash, unstash
 
-__all__ = ["UPPER", "ascii_lower", "new_path", "sample_ids", "shared_dir", "stash", "table", "texts_of", "unstash", "words"]
+__all__ = ["UPPER", "ascii_lower", "forget", "kept", "new_path", "sample_ids", "shared_dir", "stash", "table", "texts_of", "unstash", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: What a worker keeps from task to task: of one operator at a time, so that stages don't add up.
+_KEPT: dict = {}
+
+
+def kept(name: str, make):
+    """On a worker: what `make` made under the name when a task first asked, until another operator runs there."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """On a worker: drop what other operators kept."""
+    _KEPT.clear()
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import new_path, words
+from ._shared import forget, kept, new_path, words
 
 #: Stand-ins for a text's beginning and end; words are hashed, these are fixed.
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -187,6 +187,7 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", folder: str |
             rows = list(_deal(cols, counts, hot[order], shards))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
+        forget()
         held, size = [], 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -319,9 +320,6 @@ def _cut(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-READERS: dict[str, Reader] = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row's whole text; null text is empty.
 
@@ -332,10 +330,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = sent.value
-        reader = READERS.get(m.folder)
-        if reader is None:
-            READERS.clear()
-            reader = READERS[m.folder] = Reader(m)
+        reader = kept(f"lm {m.folder}", lambda: Reader(m))
 
         def flush(ids, texts):
             cols, sizes = windows(texts, m.order)

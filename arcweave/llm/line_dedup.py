@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash, unstash
+from ._shared import forget, stash, unstash
 from .bitmap import bitmap, bits_for, filtered
 
 
@@ -31,6 +31,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """(id, u, line, hi, lo, ahead, behind) of every line of columns id, u, text."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash, unstash, words
+from ._shared import forget, stash, unstash, words
 from .bitmap import bitmap, bits_for, filtered, place, within
 from .components import components
 
@@ -78,6 +78,7 @@ def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
     part = size // PIECES
 
     def count(batches):
+        forget()
         total = np.zeros(size, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -242,6 +243,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     sent = spark.sparkContext.broadcast(shingle_counts(docs.select("t"), n))
 
     def prepare(batches):
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

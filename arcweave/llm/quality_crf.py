@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sample_ids, texts_of
+from ._shared import forget, sample_ids, texts_of
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Names of a line's own features; the neighbours' are the same ones of the lines before and after.
@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         m = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -13,21 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import kept
+
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LETTER = re.compile(r"[^\W\d_]")
 #: Words and parts kept in a worker's memo. When it is full it becomes the old memo, from which words that come
 #: again are taken over, and the old one before goes.
-MEMO = 500_000
-#: A worker's codecs by the digest of their model: its tasks share one memo.
-CODECS: dict[str, Codec] = {}
-
-
-def shared_codec(digest: str, parts: tuple) -> Codec:
-    if digest not in CODECS:
-        CODECS.clear()
-        CODECS[digest] = Codec(*parts)
-    return CODECS[digest]
+MEMO = 300_000
 
 
 class Codec:
@@ -348,7 +341,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     digest, parts = _sent(docs, model)
 
     def run(batches):
-        codec = shared_codec(digest, parts.value)
+        codec = kept(f"codec {digest}", lambda: Codec(*parts.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -371,7 +364,7 @@ def decode_documents(coded: DataFrame, model: str, id_col: str = "doc_id", ids_c
     digest, parts = _sent(coded, model)
 
     def run(batches):
-        codec = shared_codec(digest, parts.value)
+        codec = kept(f"codec {digest}", lambda: Codec(*parts.value))
         for batch in batches:
             texts = [None if x is None else codec.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sample_ids, texts_of
+from ._shared import kept, sample_ids, texts_of
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -19,7 +19,7 @@ HEADS = (4, 5, 6, 7)
 #: Texts that a feature is thought to be in besides, in the usual proportion.
 SMOOTH = 20.0
 #: Words kept in a worker's memo; it is emptied when full.
-MEMO = 500_000
+MEMO = 250_000
 
 
 def word_features(word: str) -> list[int]:
@@ -106,9 +106,6 @@ def nnpu(starts, ids, vals, positive: np.ndarray, prior: float, unlabelled: np.n
     return Model(total, float(bias_sum))
 
 
-MEMOS: dict[str, dict[str, float]] = {}
-
-
 def score_texts(model: Model, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
     """Score, 0 to 1, of every text; whole texts, empty ones too."""
     out = np.empty(len(texts))
@@ -158,10 +155,7 @@ def _scorer(docs: DataFrame, model: Model):
     name = f"{model.weight.sum():.17g}/{model.bias:.17g}/{(model.weight * np.arange(len(model.weight))).sum():.17g}"
 
     def scores(texts: list[str | None]) -> np.ndarray:
-        if name not in MEMOS:
-            MEMOS.clear()
-            MEMOS[name] = {}
-        return score_texts(Model(*sent.value), texts, MEMOS[name])
+        return score_texts(Model(*sent.value), texts, kept(f"toxicity {name}", dict))
 
     return scores
 

@@ -19,7 +19,21 @@ def read_any(spark: SparkSession, path: str, format: str = "parquet", schema: st
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+#: Graphs of folders by application, the last few: schemas are inferred once, rows are read by each query.
+_STARS: dict[tuple[str, str], Hypergraph] = {}
+
+
 def star(spark: SparkSession, folder: str) -> Hypergraph:
+    """The hypergraph of a folder of tables; see build_star."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STARS:
+        while len(_STARS) >= 4:
+            _STARS.pop(next(iter(_STARS)))
+        _STARS[key] = build_star(spark, folder)
+    return _STARS[key]
+
+
+def build_star(spark: SparkSession, folder: str) -> Hypergraph:
     """Nodes Region, Nation, Customer, Supplier, Part, Order, User, Document, Vector, Page and Turn; edges IN_REGION,
     IN_NATION, PLACED, SUPPLIES, DID and NEXT_TURN; hyperedges LINE_ITEM of roles order, part and supplier.
 

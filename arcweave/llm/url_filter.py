@@ -10,6 +10,9 @@ from ._shared import UPPER, ascii_lower, stash, unstash
 #: Mass of a seed vector. Masses are whole numbers and shares are rounded down, so sums don't
 #: depend on the order of rows and a lost task gives the same verdicts when it runs again.
 MASS = 10**9
+#: Parts that a unit of mass is split into where hosts link to others or seeds have more than MANY
+#: pages: MASS * FINE, times 100, has 31 digits, and a quotient of decimals may have 32.
+FINE, MANY = 10**20, 10**6
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
 
 
@@ -43,25 +46,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return to.filter("host <> '' and dst <> ''").select(F.col("host").alias("src"), "dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: int, rounds: int) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust), in whole numbers.
+def whole(x: str, y: str | int) -> str:
+    """SQL of x // y for decimals; `div` gives a long."""
+    return f"cast((({x}) - ({x}) % cast({y} as decimal(38, 0))) / cast({y} as decimal(38, 0)) as decimal(38, 0))"
+
+
+def spread(edges: DataFrame, counts: DataFrame, damping: int, rounds: int) -> tuple[DataFrame, int]:
+    """(host, trust, distrust) from counts (host, good, bad), in whole numbers, and the parts of a unit.
 
     Trust flows along edges, each host dealing its mass evenly; distrust flows against them. Both
     directions run in one loop, as rows (node, kind), so that each round is one join and one sum.
     Each fourth round is written to the shared folder: lineage stays short if executors are lost.
+    No seed and no share is less than one part, so none dies out on the way.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).alias("kind")).unionAll(
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(1).alias("kind"))
     )
     deg = both.groupBy("a", "kind").agg(F.count(F.lit(1)).alias("deg"))
     flow = stash(both.join(deg, ["a", "kind"]), "flow")
-    start = stash(seeds.select("host", F.posexplode(F.array("trust", "distrust")).alias("kind", "seed")).filter("seed > 0"), "seeds")
+    total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
+    fine = FINE if max(total) > MANY or flow.filter("a <> b").limit(1).count() else 1
+    seed = [F.expr(f"case when {n} > 0 then greatest(1, {whole(f'{MASS * fine}BD * {n}', max(1, t))}) end") for n, t in (("good", total.g), ("bad", total.b))]
+    start = stash(counts.select("host", F.posexplode(F.array(*seed)).alias("kind", "seed")).filter("seed > 0"), "seeds")
     rank, last = start.select("host", "kind", F.col("seed").alias("m")), None
     for i in range(rounds):
         gain = flow.join(rank, (flow["a"] == rank["host"]) & (flow["kind"] == rank["kind"])).select(
-            F.col("b").alias("host"), flow["kind"].alias("kind"), F.expr(f"({damping} * m) div (100 * deg)").alias("m")
+            F.col("b").alias("host"), flow["kind"].alias("kind"), F.expr(f"greatest(1, {whole(f'{damping} * m', '100 * deg')})").alias("m")
         )
-        base = start.select("host", "kind", F.expr(f"({100 - damping} * seed) div 100").alias("m"))
+        base = start.select("host", "kind", F.expr(f"greatest(1, {whole(f'{100 - damping} * seed', 100)})").alias("m"))
         rank = gain.unionAll(base).groupBy("host", "kind").agg(F.sum("m").alias("m"))
         if i % 4 == 3 and i + 1 < rounds:
             rank = stash(rank, "rank")
@@ -71,7 +83,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: int, rounds: int) -> Dat
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("m")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("m")).otherwise(0)).alias("distrust"),
-    )
+    ), fine
 
 
 def url_filter(
@@ -88,7 +100,8 @@ def url_filter(
 
     rules: a short list of (verdict, host, path); it becomes one expression. Pages that a rule
     allows make their host a trusted seed and pages that a rule blocks a blocked one, each in
-    proportion to its pages, both at most MASS in all. Personalised PageRank spreads trust along
+    proportion to its pages, both MASS in all. Where hosts link to others a unit of it has FINE parts;
+    verdicts rest on parts, the two columns are in units, rounded down. Personalised PageRank spreads trust along
     host links, and its reverse spreads distrust against them, `rounds` times with `damping` per
     cent. A host is blocked when its distrust is more than `threshold` per cent of the two summed;
     that is the verdict of pages without a rule. Hosts that nothing reaches are allowed.
@@ -109,23 +122,23 @@ def url_filter(
         F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")
     )
     counts = stash(counts.filter("good + bad > 0"), "hosts")
-    total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
-    seeds = counts.select(
-        "host", F.expr(f"({MASS} * good) div {max(1, total.g)}").alias("trust"), F.expr(f"({MASS} * bad) div {max(1, total.b)}").alias("distrust")
-    )
-    known = spread(host_edges(rows), seeds, damping, rounds).withColumnRenamed("host", "known")
-    out = judged.join(known, F.col("host") == F.col("known"), "left")
+    known, fine = spread(host_edges(rows), counts, damping, rounds)
     blocked = F.expr(f"100 * distrust > {threshold} * (trust + distrust)")
+    known = known.select(F.col("host").alias("known"), blocked.alias("blocked"), *[F.expr(whole(x, fine)).cast("long").alias(x) for x in ("trust", "distrust")])
+    out = judged.join(known, F.col("host") == F.col("known"), "left")
     return out.select(
         "page_id", "host", "path", "rule",
-        F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0)).cast("long").alias("trust"),
         F.coalesce("distrust", F.lit(0)).cast("long").alias("distrust"),
     )
 
 
 def oracle(rules: list[tuple[str, str, str]], damping: int = 85, rounds: int = 8, threshold: int = 50) -> str:
-    """DuckDB SQL of url_filter over `pages`: the same rounds, written out one by one."""
+    """DuckDB SQL of url_filter over `pages`: the same rounds, written out one by one.
+
+    It counts in units only, so it holds where masses stay on their hosts, as in the given pages.
+    """
     cases = "".join(
         f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v} {h}{p}' "
         for v, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)

@@ -91,6 +91,16 @@ def test_distrust_reaches_who_links_to_blocked(spark):
     assert url_filter(df.limit(0), [("allow", "a", "/")]).count() == 0
 
 
+def test_small_shares_of_distrust_arrive(spark):
+    """20,000 blocked hosts; 200 hosts link to one of them, and 200 others to all of those."""
+    to = lambda host, n: f"""concat_ws('', transform(sequence(0, {n}), x -> concat('<a href="http://{host}', x, '.io/">')))"""
+    pages = spark.range(20_000).selectExpr("concat('http://h', id, '.bad/') url", "'' html")
+    near = spark.range(200).selectExpr("concat('http://n', id, '.io/') url", """'<a href="http://h0.bad/">' html""")
+    far = spark.range(200).selectExpr("concat('http://f', id, '.io/') url", f"{to('n', 199)} html")
+    out = url_filter(pages.union(near).union(far).selectExpr("1L page_id", "url", "html"), [("block", "bad", "/")])
+    assert {(r.verdict, r["count"]) for r in out.groupBy("verdict").count().collect()} == {("block", 20_400)}
+
+
 # --- mixing
 
 

@@ -13,6 +13,9 @@ MASS = 10**9
 #: Parts that a unit of mass is split into where hosts link to others or seeds have more than MANY
 #: pages: MASS * FINE, times 100, has 31 digits, and a quotient of decimals may have 32.
 FINE, MANY = 10**20, 10**6
+#: Masses have settled when no more hosts are reached and none has changed, in four rounds, by more than
+#: this part of its own (and by what rounding may move). More rounds than MOST raise.
+SETTLED, MOST = 10**6, 10_000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
 
 
@@ -51,12 +54,20 @@ def whole(x: str, y: str | int) -> str:
     return f"cast((({x}) - ({x}) % cast({y} as decimal(38, 0))) / cast({y} as decimal(38, 0)) as decimal(38, 0))"
 
 
+def moved(last: DataFrame, rank: DataFrame, noise: int) -> bool:
+    """Whether a host is reached anew or its mass has changed; rows are (host, kind, m)."""
+    old = last.select("host", "kind", F.col("m").alias("was"))
+    far = F.expr(f"was is null or m is null or abs(m - was) > greatest({noise}, {whole('m', SETTLED)})")
+    return bool(rank.join(old, ["host", "kind"], "full").filter(far).limit(1).count())
+
+
 def spread(edges: DataFrame, counts: DataFrame, damping: int, rounds: int) -> tuple[DataFrame, int]:
     """(host, trust, distrust) from counts (host, good, bad), in whole numbers, and the parts of a unit.
 
     Trust flows along edges, each host dealing its mass evenly; distrust flows against them. Both
     directions run in one loop, as rows (node, kind), so that each round is one join and one sum.
     Each fourth round is written to the shared folder: lineage stays short if executors are lost.
+    There the masses are held against those four rounds before; `rounds` is the least number of rounds.
     No seed and no share is less than one part, so none dies out on the way.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).alias("kind")).unionAll(
@@ -68,18 +79,26 @@ def spread(edges: DataFrame, counts: DataFrame, damping: int, rounds: int) -> tu
     fine = FINE if max(total) > MANY or flow.filter("a <> b").limit(1).count() else 1
     seed = [F.expr(f"case when {n} > 0 then greatest(1, {whole(f'{MASS * fine}BD * {n}', max(1, t))}) end") for n, t in (("good", total.g), ("bad", total.b))]
     start = stash(counts.select("host", F.posexplode(F.array(*seed)).alias("kind", "seed")).filter("seed > 0"), "seeds")
-    rank, last = start.select("host", "kind", F.col("seed").alias("m")), None
-    for i in range(rounds):
+    noise = 1000 + 10 * flow.count()
+    rank, last, done = start.select("host", "kind", F.col("seed").alias("m")), None, 0
+    while True:
         gain = flow.join(rank, (flow["a"] == rank["host"]) & (flow["kind"] == rank["kind"])).select(
             F.col("b").alias("host"), flow["kind"].alias("kind"), F.expr(f"greatest(1, {whole(f'{damping} * m', '100 * deg')})").alias("m")
         )
         base = start.select("host", "kind", F.expr(f"greatest(1, {whole(f'{100 - damping} * seed', 100)})").alias("m"))
         rank = gain.unionAll(base).groupBy("host", "kind").agg(F.sum("m").alias("m"))
-        if i % 4 == 3 and i + 1 < rounds:
-            rank = stash(rank, "rank")
-            if last is not None:
-                unstash(last)
-            last = rank
+        done += 1
+        if done % 4:
+            continue
+        rank = stash(rank, "rank")
+        if last is not None:
+            settled = done >= rounds and not moved(last, rank, noise)
+            unstash(last)
+            if settled:
+                break
+            if done >= MOST:
+                raise RuntimeError(f"masses haven't settled after {done} rounds")
+        last = rank
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("m")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("m")).otherwise(0)).alias("distrust"),
@@ -102,8 +121,8 @@ def url_filter(
     allows make their host a trusted seed and pages that a rule blocks a blocked one, each in
     proportion to its pages, both MASS in all. Where hosts link to others a unit of it has FINE parts;
     verdicts rest on parts, the two columns are in units, rounded down. Personalised PageRank spreads trust along
-    host links, and its reverse spreads distrust against them, `rounds` times with `damping` per
-    cent. A host is blocked when its distrust is more than `threshold` per cent of the two summed;
+    host links, and its reverse spreads distrust against them, with `damping` per cent, in at
+    least `rounds` rounds and until masses have settled, however far hosts are from the seeds. A host is blocked when its distrust is more than `threshold` per cent of the two summed;
     that is the verdict of pages without a rule. Hosts that nothing reaches are allowed.
 
     Host pairs are distinct before the loop, so it handles hosts, not pages. Null urls and urls
@@ -137,7 +156,7 @@ def url_filter(
 def oracle(rules: list[tuple[str, str, str]], damping: int = 85, rounds: int = 8, threshold: int = 50) -> str:
     """DuckDB SQL of url_filter over `pages`: the same rounds, written out one by one.
 
-    It counts in units only, so it holds where masses stay on their hosts, as in the given pages.
+    It counts in units only and stops after them, so it holds where masses stay on their hosts, as in the given pages.
     """
     cases = "".join(
         f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v} {h}{p}' "

@@ -101,6 +101,17 @@ def test_small_shares_of_distrust_arrive(spark):
     assert {(r.verdict, r["count"]) for r in out.groupBy("verdict").count().collect()} == {("block", 20_400)}
 
 
+def test_distrust_goes_all_the_way(spark):
+    """A chain of hosts that leads to a blocked one, and a circle beside it."""
+    pages = spark.range(1, 24).selectExpr("id page_id", "concat('http://h', id, '.io/') url", """concat('<a href="http://h', id - 1, if(id = 1, '.bad', '.io'), '/">') html""")
+    pages = pages.union(spark.sql("""values (0L, 'http://h0.bad/', ''), (90L, 'http://x.io/', '<a href="//y.io"><a href="//ok.org">'), (91L, 'http://y.io/', '<a href="//x.io">'), (92L, 'http://ok.org/', '<a href="//x.io">')"""))
+    out = {r.page_id: r for r in url_filter(pages, [("block", "bad", "/"), ("allow", "ok.org", "/")]).collect()}
+    assert {i for i, r in out.items() if r.verdict == "block"} == set(range(24))
+    # ok = 0.15 + 0.85 x / 2, y = 0.85 x / 2, x = 0.85 (ok + y), in 10^9
+    x = 0.85 * 0.15 / (1 - 0.85**2)
+    assert all(abs(out[i].trust - 10**9 * want) < 10**4 for i, want in ((90, x), (91, 0.425 * x), (92, 0.15 + 0.425 * x)))
+
+
 # --- mixing
 
 

@@ -31,7 +31,7 @@ RULES = [
 ]
 
 #: Order of the language model.
-LM_ORDER = 2
+LM_ORDER = 3
 
 #: Target weights of the sources, in thousandths.
 SHARES = {f"src{i}": 100 if i == 0 else 60 if i < 10 else 36 for i in range(20)}

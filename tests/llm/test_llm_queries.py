@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from arcweave.llm.queries import ORACLE_SQL, QUERIES
+from arcweave.llm import kn_lm
+from arcweave.llm.queries import ORACLE_SQL, QUERIES, remainder
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -43,3 +44,11 @@ def test_pipeline(spark):
         seen, docs = set(ids), spark.createDataFrame(out.collect(), docs.schema)
     got = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id for r in got} == seen and all(r.round_trip for r in got)
+
+
+def test_language_model_sees_two_words_back(spark):
+    """The registered query's scores are those of order 3, and not of order 2."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["op6_kneser_ney"](spark, FOLDER).collect()}
+    two, three = ({r.doc_id: r.score for r in kn_lm.score_corpus(docs, remainder(10) != 0, n)[0].collect()} for n in (2, 3))
+    assert got == pytest.approx(three) and got != pytest.approx(two)

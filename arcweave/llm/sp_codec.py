@@ -329,16 +329,17 @@ def _sent(df: DataFrame, model: str):
     return hashlib.sha256(repr(parts).encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(parts)
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids, round_trip, for every row and whole text.
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_ids, ids, round_trip, for every row and whole text, then the columns of `keep` ({name: name in the result}).
 
     model: path of a SentencePiece model on the driver; its pieces, bounded by the vocabulary, are
     broadcast. round_trip tells whether decoding gives the text again; it's false only for texts
     that hold U+2581 itself, which the format can't tell from a space. Null and empty texts have no
     ids and round_trip true. Ids may be null or repeated: rows are independent of one another.
-    A word without end goes through the streaming search in a bounded window. Other columns are ignored.
+    A word without end goes through the streaming search in a bounded window. Columns not in `keep` are ignored.
     """
     digest, parts = _sent(docs, model)
+    more = keep or {}
 
     def run(batches):
         codec = kept(f"codec {digest}", lambda: Codec(*parts.value))
@@ -352,11 +353,12 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 flat = np.concatenate(got) if got else np.empty(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same)], ["doc_id", "n_ids", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same), *part.columns[2:]], ["doc_id", "n_ids", "ids", "round_trip", *more.values()])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in more.items()])
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_ids int, ids array<int>, round_trip boolean")
+    kinds = "".join(f", `{n}` {rows.schema[n].dataType.simpleString()}" for n in more.values())
+    return rows.mapInArrow(run, f"doc_id {kind}, n_ids int, ids array<int>, round_trip boolean{kinds}")
 
 
 def decode_documents(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

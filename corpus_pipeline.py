@@ -10,7 +10,7 @@ from arcweave.llm._shared import stash, table
 from arcweave.llm.line_dedup import line_dedup
 from arcweave.llm.ngram_join import ngram_join
 from arcweave.llm.queries import MODEL, SHARES
-from arcweave.llm.source_mix import mixed
+from arcweave.llm.source_mix import mix_sources, mixed
 from arcweave.llm.sp_codec import encode_documents
 
 #: Documents from this score on go. It is above the report's 0.3: a clean document that goes is lost.
@@ -47,13 +47,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: by files and rows, blocks of sources follow their target weights."""
+    """All documents, in the order of the mixture: by files and rows, blocks of sources follow their target weights.
+
+    Spark may read several files in another order; the last stage's pos has the mixture's.
+    """
     return mixed(docs, SHARES)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids, round_trip of every document."""
-    return encode_documents(docs, MODEL)
+    """doc_id, n_ids, ids, round_trip and pos of every document: by pos, the documents are the mixture.
+
+    Places follow from the documents and the shares alone, so they are those that the mixing stage gave.
+    """
+    return encode_documents(mix_sources(docs, SHARES), MODEL, keep={"__pos": "pos"})
 
 
 STAGES = [

@@ -52,3 +52,19 @@ def test_language_model_sees_two_words_back(spark):
     got = {r.doc_id: r.score for r in QUERIES["op6_kneser_ney"](spark, FOLDER).collect()}
     two, three = ({r.doc_id: r.score for r in kn_lm.score_corpus(docs, remainder(10) != 0, n)[0].collect()} for n in (2, 3))
     assert got == pytest.approx(three) and got != pytest.approx(two)
+
+
+def test_pipeline_keeps_the_mixture(spark, tmp_path):
+    """Over several files of unequal size, which Spark reads largest first."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = corpus_pipeline.mix(spark, docs, FOLDER).collect()
+    for a, b in ((0, 5), (5, 30), (30, len(rows))):
+        spark.createDataFrame(rows[a:b], docs.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "x"))
+    read = spark.read.parquet(str(tmp_path / "x"))
+    want = [r.doc_id for r in rows]
+    assert [r.doc_id for r in read.collect()] != want
+    assert [r.doc_id for r in corpus_pipeline.encode(spark, read, FOLDER).orderBy("pos").collect()] == want
+
+    got = corpus_pipeline.run(spark, FOLDER).orderBy("pos").collect()
+    left = docs.filter(docs.doc_id.isin([r.doc_id for r in got]))
+    assert len({r.pos for r in got}) == len(got) and [r.doc_id for r in got] == [r.doc_id for r in corpus_pipeline.mix(spark, left, FOLDER).collect()]

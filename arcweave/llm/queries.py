@@ -30,6 +30,9 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
+#: Score from which a text is called toxic, here and in the pipeline.
+TOXIC = 0.3
+
 #: Order of the language model.
 LM_ORDER = 3
 
@@ -45,7 +48,7 @@ def remainder(n: int):
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.score(docs, toxicity.fit(docs, labels, remainder(4) != 2))
-    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

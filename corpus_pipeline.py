@@ -9,13 +9,10 @@ from arcweave.llm import toxicity
 from arcweave.llm._shared import stash, table
 from arcweave.llm.line_dedup import line_dedup
 from arcweave.llm.ngram_join import ngram_join
-from arcweave.llm.queries import MODEL, SHARES
+from arcweave.llm.queries import MODEL, SHARES, TOXIC
 from arcweave.llm.source_mix import mix_sources, mixed
 from arcweave.llm.sp_codec import encode_documents
 
-#: Documents from this score on go. It is above the report's 0.3: a clean document that goes is lost.
-TOXIC = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier doesn't find toxic; it learns from the confirmed ones in `labels`."""

@@ -68,3 +68,11 @@ def test_pipeline_keeps_the_mixture(spark, tmp_path):
     got = corpus_pipeline.run(spark, FOLDER).orderBy("pos").collect()
     left = docs.filter(docs.doc_id.isin([r.doc_id for r in got]))
     assert len({r.pos for r in got}) == len(got) and [r.doc_id for r in got] == [r.doc_id for r in corpus_pipeline.mix(spark, left, FOLDER).collect()]
+
+
+def test_pipeline_drops_what_op1_calls_toxic(spark, monkeypatch):
+    """The same fit and threshold: scores from 0.3 on go."""
+    docs = spark.createDataFrame([(1, 0.1), (2, 0.29), (3, 0.3), (4, 0.49), (5, 0.5)], "doc_id long, score double")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "reject", lambda docs, model, at: docs.filter(docs.score < at))
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, FOLDER).collect()} == {1, 2}

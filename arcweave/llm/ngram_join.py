@@ -231,7 +231,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     Ids are whole numbers. Rows with null or empty texts have no shingles and are linked with nothing:
     component_id is their own id. A null id takes no part and has a null component_id. Rows that repeat
-    an id and text get the same result; an id that comes with several texts gets each text's own. Other columns are ignored.
+    an id and text get the same result; an id that comes with several
+    texts gets each text's n_shingles and one component_id, as those texts are linked through it. Other columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

@@ -34,13 +34,20 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 0.8 on 5-word shingles make: the one with the smallest id.
+    """One text of each group that links of 0.8 on 5-word shingles make: the one with the smallest id.
 
-    Documents with a null id are in no group and stay. Rows that repeat an id stay or go together.
+    Documents with a null id are in no group and stay. Rows that repeat an id and text stay or go
+    together; an id that comes with several texts is treated text by text, by keys in the order of ids and hashes of texts.
     """
-    groups = ngram_join(docs, n=5, num=80, den=100)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumns({"__hash": F.xxhash64("text"), "__key": F.col("doc_id")})
+    texts = rows.filter("doc_id is not null").select("doc_id", "__hash")
+    if texts.groupBy("doc_id").agg((F.min("__hash") < F.max("__hash")).alias("several")).filter("several").limit(1).count():
+        ranges = texts.distinct().repartitionByRange("doc_id", "__hash").sortWithinPartitions("doc_id", "__hash")
+        keys = stash(ranges.withColumn("__key", F.monotonically_increasing_id()), "keys")
+        rows = stash(rows.drop("__key").join(keys, ["doc_id", "__hash"], "left"), "keyed")
+    groups = ngram_join(rows, n=5, num=80, den=100, id_col="__key")
+    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,14 @@ def test_pipeline_drops_what_op1_calls_toxic(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
     monkeypatch.setattr(corpus_pipeline.toxicity, "reject", lambda docs, model, at: docs.filter(docs.score < at))
     assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, FOLDER).collect()} == {1, 2}
+
+
+def test_pipeline_keeps_an_ids_other_text(spark):
+    """Id 2 has a near copy of id 1 and a text of its own; id 4 has two near copies of each other."""
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (2, text("b")), (3, text("b") + " end"), (4, text("c")), (4, text("c") + " end"), (None, text("a")), (None, None), (5, None), (6, "")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert got.columns == ["doc_id", "text"]
+    left = [tuple(r) for r in got.collect()]
+    fours = [r for r in left if r[0] == 4]
+    assert len(fours) == 1 and sorted((r for r in left if r[0] != 4), key=repr) == sorted([rows[0], rows[2], rows[3], *rows[7:]], key=repr)

@@ -16,7 +16,10 @@ FINE, MANY = 10**20, 10**6
 #: Masses have settled when no more hosts are reached and none has changed, in four rounds, by more than
 #: this part of its own (and by what rounding may move). More rounds than MOST raise.
 SETTLED, MOST = 10**6, 10_000
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
+#: The value of an anchor's href, with its quotes if it has some; attributes before it are passed over whole.
+LINK = r"""(?i)<a(?=[\s/])(?:[\s/]*(?!href\s*=)[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+[\s/]*href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: The SQL's links: quoted values without '>', and no '>' before them.
+SQL_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -44,7 +47,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .otherwise(F.col("host"))
         )
 
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))
+    links = F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
     to = pages.select("host", F.explode(F.array_distinct(F.transform(links, target))).alias("dst"))
     return to.filter("host <> '' and dst <> ''").select(F.col("host").alias("src"), "dst").distinct()
 
@@ -156,7 +160,8 @@ def url_filter(
 def oracle(rules: list[tuple[str, str, str]], damping: int = 85, rounds: int = 8, threshold: int = 50) -> str:
     """DuckDB SQL of url_filter over `pages`: the same rounds, written out one by one.
 
-    It counts in units only and stops after them, so it holds where masses stay on their hosts, as in the given pages.
+    It counts in units only and stops after them, so it holds where masses
+    stay on their hosts, as in the given pages. It finds quoted links without '>' only.
     """
     cases = "".join(
         f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v} {h}{p}' "
@@ -178,7 +183,7 @@ def oracle(rules: list[tuple[str, str, str]], damping: int = 85, rounds: int = 8
     start as materialized (
       select host, 0 kind, ({MASS} * c.g) // t.g seed from c, t where c.g > 0
       union all select host, 1, ({MASS} * c.b) // t.b from c, t where c.b > 0),
-    l as (select host, unnest(regexp_extract_all(coalesce(html, ''), '{LINK.replace("'", "''")}', 1)) x from j where host <> ''),
+    l as (select host, unnest(regexp_extract_all(coalesce(html, ''), '{SQL_LINK.replace("'", "''")}', 1)) x from j where host <> ''),
     e as (select distinct host src, case when regexp_matches(x, '^(?:[hH][tT][tT][pP][sS]?:)?//') then {low.format("regexp_extract(x, '//([^/?#]*)', 1)")}
         when regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then '' else host end dst from l),
     both_ as (select src a, dst b, 0 kind from e where dst <> '' union all select dst, src, 1 from e where dst <> ''),

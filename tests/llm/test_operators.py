@@ -112,6 +112,13 @@ def test_distrust_goes_all_the_way(spark):
     assert all(abs(out[i].trust - 10**9 * want) < 10**4 for i, want in ((90, x), (91, 0.425 * x), (92, 0.15 + 0.425 * x)))
 
 
+def test_links_of_any_quoting(spark):
+    html = ["<a href=http://bad.com/x>", "<A title='a > b' HREF='//bad.com?q'>", '<a href="http://bad.com/?a>b">', '<a rel=x href = "http://bad.com/it\'s">', "<a\nclass=\"x\"href='http://bad.com'>", "<a data-href='http://bad.com'>", "<abbr href='http://bad.com'>", "<a title='href=//bad.com'>"]
+    df = spark.createDataFrame([(i, f"http://h{i}.io/", x) for i, x in enumerate(html)] + [(99, "http://bad.com/", "")], "page_id long, url string, html string")
+    out = {r.page_id: r.verdict for r in url_filter(df, [("block", "bad.com", "/")]).collect()}
+    assert [out[i] for i in range(8)] == ["block"] * 5 + ["allow"] * 3
+
+
 # --- mixing
 
 

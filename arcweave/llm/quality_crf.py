@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_c
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row, whole texts. Null text is empty, which is one empty line; null and
-    repeated ids stay. Rows are scored in Arrow batches of up to 256 texts."""
+    repeated ids stay. Rows are scored in Arrow batches of up to 256 texts, long ones whole; columns besides
+    the two are ignored, whatever their names, and an empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -14,7 +14,7 @@ from .kdtree import top_k
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .source_mix import mix_sources
-from .sp_codec import encode_documents
+from .sp_codec import decode_documents, encode_documents
 from .url_filter import oracle as url_oracle
 from .url_filter import url_filter
 
@@ -93,9 +93,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_top_k, op3_quality_crf, op4_source_mix, op5_line_dedup, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op9_ngram_join, op10_sentencepiece)}
+def decode_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids turned into texts again."""
+    out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), MODEL), MODEL)
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_top_k, op3_quality_crf, op4_source_mix, op5_line_dedup, op6_kneser_ney, op7_exact_dedup, op8_url_filter, op9_ngram_join, op10_sentencepiece, decode_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {
+    "decode_sentencepiece": "select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents",
     "op2_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) p from embeddings
           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,8 +55,13 @@ def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple]:
     return out
 
 
+def row_tie(docs: DataFrame) -> Column:
+    """A hash of all columns, which orders rows of the same id."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])))
+
+
 def mix_sources(
-    docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source", block: int = 16, other_share: int = 1
+    docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source", block: int = 16, other_share: int = 1, tie_col: str | None = None
 ) -> DataFrame:
     """docs with __stream, __block, __slot, __pos: rows in the order of __pos are the mixture.
 
@@ -65,7 +70,8 @@ def mix_sources(
     shares: whole numbers, the target weights by source; their sum, the schedule's period, and their
     number bound what the driver holds. Sources without a share, null ones included, form one more
     stream with other_share. A stream's rows are dealt into blocks of `block` rows in an order
-    that is as good as random: by hash, id and a hash of all columns. The last block of a stream may be short.
+    that is as good as random: by hash, id and a hash of all columns, or tie_col, a column with row_tie of the rows
+    that these were made from; it goes. The last block of a stream may be short.
     No row is dropped or repeated: once a stream has run out, the rest go on by their shares.
 
     Ranks within a stream come from about sqrt(rows) hash buckets: rows are numbered inside a bucket and
@@ -78,9 +84,10 @@ def mix_sources(
     spark = docs.sparkSession
     total = docs.count()
     k = max(1, math.isqrt(total))
-    own = [c for c in docs.columns if c not in ("__stream", "__block", "__slot", "__pos")]
+    own = [c for c in docs.columns if c not in ("__stream", "__block", "__slot", "__pos", tie_col)]
     names = {c: f"c{i}" for i, c in enumerate(own)}  # no name of a column of docs meets one of ours
-    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    tie = F.col(f"`{tie_col}`") if tie_col else row_tie(docs.select(*[F.col(f"`{c}`") for c in own]))
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], tie.alias("tie"))
     key, src = F.col(names[id_col]).cast("string"), F.col(names[source_col]).cast("string")
     named = F.when(src.isin(*shares), src).otherwise(F.lit(OTHER)) if shares else F.lit(OTHER)
     rows = kept.withColumns({"stream": named, "h": F.xxhash64(F.lit(4), key)}).withColumn("b", F.pmod("h", F.lit(k)))
@@ -90,9 +97,8 @@ def mix_sources(
     counts = {r[0]: r[1] for r in sizes.groupBy("stream").agg(F.sum("n")).collect()}
     plan = phases({s: -(-n // block) for s, n in counts.items()}, dict(shares) | {OTHER: other_share})
     plan = spark.createDataFrame(plan, "s string, lo long, hi long, at long, q long, p long, slots array<long>")
-    tie = F.xxhash64(F.to_json(F.struct(*names.values())))
     inside = Window.partitionBy("stream", "b").orderBy("h", key, "tie")
-    ranked = rows.withColumn("tie", tie).withColumn("i", F.row_number().over(inside) - 1)
+    ranked = rows.withColumn("i", F.row_number().over(inside) - 1)
     # Buckets times streams; past a bound on that they're joined by shuffling.
     starts = F.broadcast(starts) if k * (len(shares) + 1) <= 100_000 else starts
     ranked = ranked.join(starts, ["stream", "b"]).withColumn("r", F.col("before") + F.col("i")).withColumn("block", F.expr(f"r div {block}"))

@@ -6,8 +6,10 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +20,9 @@ from ._shared import kept
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LETTER = re.compile(r"[^\W\d_]")
-#: Words and parts kept in a worker's memo. When it is full it becomes the old memo, from which words that come
+#: Words and parts kept in a worker's memo, and pairs of pieces. When it is full it becomes the old memo, from which words that come
 #: again are taken over, and the old one before goes.
-MEMO = 300_000
+MEMO = 200_000
 
 
 class Codec:
@@ -44,10 +46,17 @@ class Codec:
         self.low = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
         order = sorted(self.ids, key=lambda p: (-scores[self.ids[p]], self.ids[p]))
         self.rank = {p: r for r, p in enumerate(order)}
-        self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | {c: -1 for p in self.ids for c in p} | self.ids
+        self.held = {c for p in self.ids for c in p}  # characters of pieces
+        self.automaton = ahocorasick.Automaton()
+        for p in self.held | set(self.ids):
+            self.automaton.add_word(p, p)
+        self.automaton.make_automaton()
         self.words = self._cuts()
         self.splits: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        several = Counter(scores[i] for i in self.ids.values())
+        self.tied = {p for p, i in self.ids.items() if several[scores[i]] > 1}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.out = [self._surface(i) for i in range(len(pieces))]
@@ -71,7 +80,7 @@ class Codec:
         """Parts of a text that no piece crosses out of: a word, up to white space or a sign that follows
         a letter in no piece; line ends and tabs on their own, if they are in no piece."""
         after = "".join(sorted({b for p in self.ids for a, b in zip(p, p[1:], strict=False) if LETTER.match(a) and not LETTER.match(b)} - {SPACE}))
-        alone = "".join(c for c in "\n\t" if c not in self.trie)
+        alone = "".join(c for c in "\n\t" if c not in self.held)
         sign, run = f"(?![{SPACE}{alone}])[\\W\\d_]", f"{LETTER.pattern}++"
         inner = f"|{run}(?=[{re.escape(after)}])" if after else ""
         return re.compile((f"[{alone}]|" if alone else "") + f"{SPACE}*+(?:{sign}{inner})*+(?:{run})?+")
@@ -117,11 +126,11 @@ class Codec:
 
     def stay(self, a: str, b: str) -> bool:
         """Whether BPE of a + b is [a, b], by undoing the merges that touch the border, latest first."""
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         rank, limit, x, y, ok = self.rank, len(self.rank), a, b, True
-        while True:
+        equal = a in self.tied and b in self.tied  # among equal scores places decide, so merges are done and not undone
+        if equal:
+            ok = self.merges(a + b)[0] == [a, b]
+        while not equal:
             if rank.get(x + y, limit) < limit:
                 ok = False
                 break
@@ -133,9 +142,6 @@ class Codec:
                 limit, x = rank[x], sx[1]
             else:
                 limit, y = rank[y] + 1, sy[0]
-        if len(self.pairs) >= 4 * MEMO:
-            self.pairs.clear()
-        self.pairs[a, b] = ok
         return ok
 
     # --- the search
@@ -143,131 +149,123 @@ class Codec:
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a text without spaces to escape, given out as soon as all surviving paths share them.
 
-        Positions are settled from left to right, each offering the pieces that start there to the
-        positions ahead. The window holds what the longest piece can still reach, back to the last
-        cut that all surviving paths cross; ids before the cut are given out and forgotten.
+        Positions are settled from left to right, each from the pieces that end there, which an automaton
+        finds. The window reaches back from what the longest piece can still start at to the last
+        border that all surviving paths cross; ids before it are given out and forgotten.
         """
-        trie, longest, bpe, stay, scores = self.trie, self.longest, self.bpe, self.stay, self.scores
-        n, base, done, check = len(text), 0, 0, 4 * longest
-        back, best = [0] + [-1] * longest, [0.0] * (longest + 1)  # of base + i: length of the last piece (0: start, -1: no path), score
-        for j in range(n):
-            at = j - base
-            if len(back) < at + longest + 1:
-                back += [-1] * longest
-                best += [0.0] * longest
-            before = back[at]
-            if before >= 0:
-                prev, here, c = text[j - before : j], best[at], text[j]
-                if c not in trie:
-                    if bpe:  # no piece holds it, so every path is cut here
-                        yield from self._path(text, base, done, back, j)
-                        yield from self._unknown(c)
-                        base, done, back, best = j + 1, j + 1, [0] + [-1] * longest, [0.0] * (longest + 1)
-                        continue
-                    if back[at + 1] < 0 or here + self.low > best[at + 1]:
-                        back[at + 1], best[at + 1] = 1, here + self.low
-                else:
-                    for e in range(j + 1, min(n, j + longest) + 1):
-                        p = text[j:e]
-                        i = trie.get(p)
-                        if i is None:
-                            break
-                        k = e - j
-                        if bpe:
-                            if back[at + k] < 0 and (k == 1 or i >= 0 and self.split(p)) and (not before or stay(prev, p)):
-                                back[at + k] = k
-                        elif i >= 0 or k == 1:
-                            score = here + (scores[i] if i >= 0 else self.low)
-                            if back[at + k] < 0 or score > best[at + k]:
-                                back[at + k], best[at + k] = k, score
-            if at >= check:
-                cut = self._common(base, back, j + 1)
-                if cut > done:
-                    yield from self._path(text, base, done, back, cut)
-                    done = cut
-                start = done - max(0, back[done - base]) if bpe else done  # a BPE border needs the piece before it
-                back, best, base = back[start - base :], best[start - base :], start
-                back[0] = 0
-                check = max(4 * longest, 2 * (j + 1 - base))
-        yield from self._path(text, base, done, back, n)
-
-    def _common(self, base: int, back: list[int], i: int) -> int:
-        """The last position that the paths to all positions from i on cross; i is reached or passed over."""
-        live = {j for j in range(i, base + len(back)) if back[j - base] >= 0}
-        live |= {j for j in range(max(base, i - self.longest), i) if back[j - base] >= 0}
+        for ids in self.search(text):
+            yield from ids
+
+    def search(self, text: str) -> Iterator[list[int]]:
+        """As stream, in lists; the one search there is, for texts of any length."""
+        return self._best_neighbours(text) if self.bpe else self._best_sums(text)
+
+    def _best_neighbours(self, text: str) -> Iterator[list[int]]:
+        fits, base, size, check = self.fits, 0, 1, 4 * self.longest
+        # Of base + i: the piece that ends there ("": the start, None: no path), and what is known of pieces after it. All paths cross base.
+        last: list[str | None] = [""]
+        after: list[dict[str, bool] | None] = [fits.setdefault("", {})]
+        for end, p in self.automaton.iter(text):  # by ends, the longest first
+            at = end + 1 - base
+            if at < size:
+                continue
+            while at > size:  # passed over
+                c = text[base + size - 1]
+                if c in self.held:
+                    last.append(None)
+                    after.append(None)
+                    size += 1
+                else:  # no piece holds it, so every path is cut here
+                    yield self._path(last, size - 1) + self._unknown(c)
+                    base += size
+                    last, after, size, at, check = [""], [fits.setdefault("", {})], 1, end + 1 - base, 4 * self.longest
+            known = after[at - len(p)]
+            if known is None:
+                continue
+            ok = known.get(p)
+            if ok is None:
+                known[p] = ok = self._fit(last[at - len(p)], p)
+            if ok:
+                last.append(p)
+                after.append(fits[p] if p in fits else fits.setdefault(p, {}))
+                size += 1
+                if size > check:
+                    if cut := self._common(last):
+                        yield self._path(last, cut)
+                        last, after, base, size = last[cut:], after[cut:], base + cut, size - cut
+                    check = max(4 * self.longest, 2 * size)
+        yield self._path(last, size - 1)
+        for c in text[base + size - 1 :]:
+            yield self._unknown(c)
+
+    def _fit(self, prev: str, p: str) -> bool:
+        """Whether a piece, or a character that pieces hold, comes out of merges, and next to the piece before it."""
+        ok = (len(p) == 1 or p in self.ids and self.split(p) is not None) and (not prev or self.stay(prev, p))
+        self.n_fits += 1
+        if self.n_fits >= 2 * MEMO:
+            self.n_fits = 0
+            self.fits.clear()
+        return ok
+
+    def _best_sums(self, text: str) -> Iterator[list[int]]:
+        base, check, last, best = 0, 4 * self.longest, [""], [0.0]
+        for end, p in self.automaton.iter(text):
+            while len(last) < end + 2 - base:
+                last.append(text[base + len(last) - 1])  # at worst, a character on its own
+                best.append(best[-1] + self.low)
+            at = end + 1 - base
+            i = self.ids.get(p)
+            score = best[at - len(p)] + (self.low if i is None else self.scores[i])
+            if score > best[at]:
+                last[at], best[at] = p, score
+            if at > check:
+                if cut := self._common(last[:at]):
+                    yield self._path(last, cut)
+                    last, best, base = last[cut:], best[cut:], base + cut
+                check = max(4 * self.longest, 2 * len(last))
+        for c in text[base + len(last) - 1 :]:
+            last.append(c)
+        yield self._path(last, len(last) - 1)
+
+    def _common(self, last: list[str | None]) -> int:
+        """The last place that all paths cross: those to where the longest piece may still start, and to all places after."""
+        live = {j for j in range(max(0, len(last) - self.longest), len(last)) if last[j] is not None}
         while len(live) > 1:
             j = max(live)
             live.remove(j)
-            live.add(j - back[j - base] if j > base else j)
-        return live.pop() if live else base
-
-    def _path(self, text: str, base: int, done: int, back: list[int], end: int) -> Iterator[int]:
-        """Ids of the path to end, from done on, which the path crosses."""
-        out, j = [], end
-        while j > done:
-            p = text[j - back[j - base] : j]
-            out.append(self.ids.get(p, p))
-            j -= len(p)
-        for x in reversed(out):
-            if isinstance(x, str):
-                yield from self._unknown(x)
+            live.add(j - len(last[j]))
+        return live.pop() if live else 0
+
+    def _path(self, last: list[str | None], end: int) -> list[int]:
+        """Ids of the path to end."""
+        ids, parts = self.ids, []
+        while end:
+            p = last[end]
+            i = ids.get(p)
+            parts.append(self._unknown(p) if i is None else i)
+            end -= len(p)
+        out = []
+        for x in reversed(parts):
+            if type(x) is int:
+                out.append(x)
             else:
-                yield x
+                out += x
+        return out
 
     def _unknown(self, c: str) -> list[int]:
         if not self.bytes:
             return [self.unk]
         return [self.bytes[b] for b in c.encode()]
 
-    def _window(self, text: str) -> list[int]:
-        """As stream, for BPE and a text that the first window holds whole: no cut is looked for.
-
-        A position has one surviving path whatever the order in which positions are settled, so the
-        steps that go furthest are tried first and the search ends when the text's end has its path.
-        """
-        trie, pairs, splits, ids, n, top = self.trie, self.pairs, self.splits, self.ids, len(text), self.longest
-        back: list[str | None] = [None] * (n + 1)
-        steps: list[tuple[int, str]] = []  # pieces that may follow settled positions; the last goes furthest
-        j, prev = 0, ""
-        while j < n:
-            if text[j] not in trie:
-                steps.append((j, text[j]))
-            else:
-                for e in range(j + 1, n + 1 if n - j < top else j + top + 1):
-                    p = text[j:e]
-                    if p not in trie:
-                        break
-                    if back[e] is None and (trie[p] >= 0 or e == j + 1):
-                        steps.append((j, p))
-            while True:
-                i, p = steps.pop()
-                j = i + len(p)
-                if back[j] is not None or len(p) > 1 and not (splits[p] if p in splits else self.split(p)):
-                    continue
-                prev = back[i] if i else ""
-                if not prev or prev not in ids or p not in trie or (pairs[prev, p] if (prev, p) in pairs else self.stay(prev, p)):
-                    back[j] = p
-                    break
-        out = []
-        while j:
-            out.append(back[j])
-            j -= len(back[j])
-        return [x for p in reversed(out) for x in ([ids[p]] if p in ids else self._unknown(p))]
-
     def chunk(self, c: str) -> bytes:
         """Ids of a chunk, packed as 32-bit numbers."""
-        if not c:
-            return b""
-        if self.bpe and c.startswith(SPACE * 2):
-            # Runs of spaces have equal scores, where only the order of merges decides.
-            got: list[int] = []
-            for p in self.merges(c)[0]:
-                got += [self.ids[p]] if p in self.ids else self._unknown(p)
-        elif self.bpe and len(c) <= 2 * self.longest:
-            got = self._window(c)
-        else:
-            got = list(self.stream(c))
-        return array("i", got).tobytes()
+        found = list(self.search(c))
+        return array("i", found[0]).tobytes() if len(found) == 1 else b"".join([array("i", ids).tobytes() for ids in found])
+
+    def rest(self) -> None:
+        """Drop the memos, so that a worker without a task holds the model alone."""
+        self.memo, self.old, self.n_fits = {}, {}, 0
+        self.fits.clear()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text. No piece crosses certain borders (_cuts), so all paths meet there: what
@@ -276,7 +274,7 @@ class Codec:
             return np.empty(0, np.int32)
         text = (SPACE * self.dummy_prefix + text).replace(" ", SPACE)
         if self.inner:
-            return np.fromiter(self.stream(text), np.int32)
+            return np.frombuffer(self.chunk(text), np.int32)
         chunks, memo = WORD.findall(text), self.memo
         out = list(map(memo.get, chunks))
         if None in out:
@@ -336,13 +334,15 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     broadcast. round_trip tells whether decoding gives the text again; it's false only for texts
     that hold U+2581 itself, which the format can't tell from a space. Null and empty texts have no
     ids and round_trip true. Ids may be null or repeated: rows are independent of one another.
-    A word without end goes through the streaming search in a bounded window. Columns not in `keep` are ignored.
+    A word without end goes through the search in a bounded window, as all do. Columns not in `keep` are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     digest, parts = _sent(docs, model)
     more = keep or {}
 
     def run(batches):
         codec = kept(f"codec {digest}", lambda: Codec(*parts.value))
+        codec.rest()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -354,6 +354,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 flat = np.concatenate(got) if got else np.empty(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same), *part.columns[2:]], ["doc_id", "n_ids", "ids", "round_trip", *more.values()])
+        codec.rest()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in more.items()])
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, sample_ids, texts_of
+from ._shared import forget, sample_ids, texts_of
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -150,21 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
 
 def _scorer(docs: DataFrame, model: Model):
-    """A function of texts that scores them on a worker, with a memo that its tasks share."""
+    """A function that makes, for a task, a function which scores texts, with a memo of its own."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
-    name = f"{model.weight.sum():.17g}/{model.bias:.17g}/{(model.weight * np.arange(len(model.weight))).sum():.17g}"
 
-    def scores(texts: list[str | None]) -> np.ndarray:
-        return score_texts(Model(*sent.value), texts, kept(f"toxicity {name}", dict))
+    def start():
+        forget()
+        mine, memo = Model(*sent.value), {}
+        return lambda texts: score_texts(mine, texts, memo)
 
-    return scores
+    return start
 
 
 def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose texts score below the threshold."""
-    scores, at = _scorer(docs, model), docs.columns.index(text_col)
+    """The rows of docs, all columns as they are, whose texts score below the threshold; null and odd rows as in score."""
+    start, at = _scorer(docs, model), docs.columns.index(text_col)
 
     def run(batches):
+        scores = start()
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
@@ -176,11 +178,13 @@ def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "tex
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows as (doc_id, score), in any order; null text is the empty text, null and repeated ids stay.
 
-    Rows are scored one by one in Arrow batches; the model has a fixed size of 2^20 numbers.
+    Rows are scored one by one in Arrow batches, long texts whole; the model has a fixed size of 2^20 numbers. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    scores = _scorer(docs, model)
+    start = _scorer(docs, model)
 
     def run(batches):
+        scores = start()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -339,8 +339,9 @@ def test_kneser_ney_sums_to_one_and_odd_rows(spark, docs, nothing, tmp_path):
         reader = kn_lm.Reader(model)
         for context in ([b"a"] * (order - 1), [b"never"] * (order - 1), [vocab[0]] * (order - 1)):
             last = np.concatenate([kn_lm.word_hashes([*vocab, b"~unknown~"]), [kn_lm.END]])
-            cols = [np.full(len(last), h) for h in kn_lm.word_hashes(context)] + [last]
-            assert math.isclose((10 ** reader.log10(cols)[0]).sum(), 1, rel_tol=1e-9)
+            flat = np.stack([*[np.full(len(last), h) for h in kn_lm.word_hashes(context)], last], axis=1).ravel()  # a text for each last word
+            logs = reader.log10(flat, np.full(len(last), order))[0][order - 1 :: order]
+            assert math.isclose((10**logs).sum(), 1, rel_tol=1e-9)
     out, model = kn_lm.score_corpus(nothing, F.lit(True))
     assert out.count() == 0 and model.tokens == 0
 

@@ -10,12 +10,16 @@ from arcweave.llm._shared import stash, table
 from arcweave.llm.line_dedup import line_dedup
 from arcweave.llm.ngram_join import ngram_join
 from arcweave.llm.queries import MODEL, SHARES, TOXIC
-from arcweave.llm.source_mix import mix_sources, mixed
+from arcweave.llm.source_mix import mix_sources, mixed, row_tie
 from arcweave.llm.sp_codec import encode_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the classifier doesn't find toxic; it learns from the confirmed ones in `labels`."""
+    """Documents whose text the classifier doesn't find toxic; it learns from the confirmed ones in `labels`.
+
+    Null and empty texts are scored as empty ones, long ones whole; null and repeated ids stay or go by their texts. Without
+    confirmed labels nothing is rejected; an empty table gives an empty result.
+    """
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
@@ -53,7 +57,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: by files and rows, blocks of sources follow their target weights.
 
-    Spark may read several files in another order; the last stage's pos has the mixture's.
+    Spark may read several files in another order; the last stage's pos has the mixture's. Null sources, and those
+    without a weight, form a stream of their own; null ids and texts, and repeated rows, stay. Empty in, empty out.
     """
     return mixed(docs, SHARES)
 
@@ -61,9 +66,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, round_trip and pos of every document: by pos, the documents are the mixture.
 
-    Places follow from the documents and the shares alone, so they are those that the mixing stage gave.
+    Places follow from the documents and the shares alone, so they are those that the mixing stage gave. Ids, and not
+    texts, are dealt out for that, after they were written. A null text has no ids; a null id or source, repeated rows and
+    long texts are treated as any; an empty table gives an empty result.
     """
-    return encode_documents(mix_sources(docs, SHARES), MODEL, keep={"__pos": "pos"})
+    coded = encode_documents(docs.withColumn("__tie", row_tie(docs)), MODEL, keep={"source": "__source", "__tie": "__tie"})
+    placed = mix_sources(stash(coded, "coded"), SHARES, source_col="__source", tie_col="__tie")
+    return placed.select("doc_id", "n_ids", "ids", "round_trip", F.col("__pos").alias("pos"))
 
 
 STAGES = [

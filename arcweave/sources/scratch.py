@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -23,10 +24,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/arcweave-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Shuffle files of the queries that end in here go with them, and don't wait for the driver's garbage collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here."""
+    """Write df as a table in the shared folder and read it again: lineage ends here, and so do its shuffle files."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_cleaned(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -7,8 +7,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._shared import forget, stash, unstash
+from ._shared import bound_batches, forget, stash, unstash
 from .bitmap import bitmap, bits_for, filtered
 
 
@@ -113,11 +114,24 @@ def repeated_blocks(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         found = found.unionByName(p)
     found = stash(found.distinct(), "blocks")
-    earliest = found.groupBy("size", "ra", "rb").agg(F.min(F.struct("id", "u", "first")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    late = found.join(earliest.select("size", "ra", "rb", "e"), ["size", "ra", "rb"])
+    keys = ["size", "ra", "rb"]
+    earliest = found.groupBy(*keys).agg(F.min(F.struct("id", "u", "first")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    earliest = stash(earliest, "earliest")
+    # Intervals of more than a thousandth of the blocks, at most a thousand, come to the blocks; the others are met by key.
+    hot = F.broadcast(earliest.filter(F.col("c") > found.count() // 1000).select(*keys, "e"))
+    late = found.join(hot, keys).unionByName(found.join(hot, keys, "left_anti").join(earliest.select(*keys, "e"), keys))
     return late.filter(F.struct("id", "u", "first") > F.col("e")).select("id", "u", "first", "size")
 
 
+def repeated_runs(blocks: DataFrame) -> DataFrame:
+    """(id, u, first, end) of the runs that blocks (id, u, first, size) cover, in the order of lines: no two of a text touch."""
+    ends = blocks.groupBy("id", "u", "first").agg(F.max(F.expr("first + size")).alias("end"))
+    before = Window.partitionBy("id", "u").orderBy("first")
+    ends = ends.withColumn("new", F.coalesce(F.col("first") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    ends = ends.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return ends.groupBy("id", "u", "run").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("run")
+
+
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text of later copies cut out, and __n_lines, __n_removed.
 
@@ -129,6 +143,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     document, and each loses the same lines. Columns keep their names, types and order; the two added names
     replace columns of docs so named. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
     names = {c: f"c{i}" for i, c in enumerate(own)}  # no name of a column of docs meets one of ours
     whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
@@ -140,7 +155,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     most = lines.agg(F.greatest(F.max("ahead"), F.max("behind")).alias("m")).first().m or 0
     levels = doubling(lines, most)
     late = repeated_blocks(lines, levels)
-    cuts = stash(late.groupBy("id", "u").agg(F.collect_set(F.struct("first", "size")).alias("cuts")), "cuts")
+    cuts = stash(repeated_runs(late).groupBy("id", "u").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("cuts")), "cuts")
     for df in (lines, *levels):
         unstash(df)
     # Most texts lose nothing: a map of those that do keeps the others from being dealt out.
@@ -150,8 +165,12 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     some = filtered(whole, sent, bits, ["id", "u"]).join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("u") == F.col("u2")), "left")
     others = filtered(whole, sent, bits, ["id", "u"], keep=False).withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType))
     out = some.select(*whole.columns, "cuts").unionByName(others)
-    parts = F.split(text, "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i < c["first"] + c["size"])))
+    out = out.withColumn("parts", F.split(text, "\n", -1))  # a column, so that each use doesn't split anew
+    parts = F.col("parts")
+    # What lies before, between and after the runs, in one go over the lines.
+    start = lambda j: F.when(j > 0, F.get("cuts", j - 1)["end"]).otherwise(0)
+    stop = lambda j: F.coalesce(F.get("cuts", j)["first"], F.size(parts))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda j: F.slice(parts, start(j) + 1, stop(j) - start(j))))
     out = out.withColumns({"lines": F.when(text.isNull(), 0).otherwise(F.size(parts)), "kept": F.when(F.col("cuts").isNotNull(), kept)})
     removed = F.when(F.col("cuts").isNull(), 0).otherwise(F.col("lines") - F.size("kept"))
     fresh = F.when(F.col("cuts").isNull(), F.col(names[text_col])).otherwise(F.array_join("kept", "\n").cast(kind))

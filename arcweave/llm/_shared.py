@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, shared_dir, stash, unstash
 
-__all__ = ["UPPER", "ascii_lower", "forget", "kept", "new_path", "sample_ids", "shared_dir", "stash", "table", "texts_of", "unstash", "words"]
+__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "sample_ids", "shared_dir", "stash", "table", "texts_of", "trim", "unstash", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,8 +28,22 @@ def kept(name: str, make):
 
 
 def forget() -> None:
-    """On a worker: drop what other operators kept."""
+    """On a worker: drop what other operators kept, and give the memory back."""
     _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the machine, where its C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of this session hold at most so many bytes: rows alone don't bound them where texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "64m").lower().rstrip("b").replace("m", "0" * 6)) > most:
+        spark.conf.set(name, str(most))
 
 
 def ascii_lower(col):
@@ -34,6 +51,7 @@ def ascii_lower(col):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +27,19 @@ def within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 def bitmap(rows: DataFrame, bits: int, *columns: str) -> np.ndarray:
     """A map of the places of the columns' values, made in pieces of 8 kB."""
 
-    def run(pdfs):
+    def run(batches):
         seen = {}
-        for pdf in pdfs:
-            for piece, at in pdf.groupby("piece")["at"]:
-                seen.setdefault(piece, np.zeros(PIECE, np.uint8))[at.to_numpy()] = 1
+        for batch in batches:
+            piece, at = (batch.column(i).to_numpy() for i in range(2))
+            for k in np.unique(piece):
+                seen.setdefault(int(k), np.zeros(PIECE, np.uint8))[at[piece == k]] = 1
         for k, x in seen.items():
-            yield pd.DataFrame({"piece": [k], "blob": [np.packbits(x).tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], ["piece", "blob"])
 
     rows = rows.select(place(bits, *columns).alias("h")).distinct()
     rows = rows.select(F.expr(f"cast(h div {PIECE} as int)").alias("piece"), F.expr(f"cast(h % {PIECE} as int)").alias("at"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows.repartition("piece").mapInPandas(run, "piece int, blob binary").toLocalIterator():
+    for r in rows.repartition("piece").mapInArrow(run, "piece int, blob binary").toLocalIterator():
         out[r[0] * PIECE // 8 : (r[0] + 1) * PIECE // 8] = np.frombuffer(r[1], np.uint8)
     return out
 

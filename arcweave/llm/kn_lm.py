@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
 import tempfile
@@ -18,7 +17,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import forget, kept, new_path, stash, unstash, words
+from ._shared import bound_batches, forget, kept, new_path, stash, unstash, words
 
 #: Stand-in for a text's end, a word like others; words are hashed. Ids are from 1 on, 0 stands for a text's beginning.
 END, BEGIN = np.uint64(2), np.uint64(0)
@@ -302,18 +301,6 @@ def _by_shard(at: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s), order[ends[s] : ends[s + 1]]
 
 
-@contextlib.contextmanager
-def _shuffles_cleaned(spark: SparkSession):
-    """Shuffle files go when the query that made them has ended, so that two orders' are never there at once."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _grouped(rows: DataFrame, shards: int, columns: str, finish) -> DataFrame:
     """Blobs of a shard meet in one task, one shard after the other; finish(shard, blobs) gives rows (shard, blob, key, s)."""
     every = rows.sparkSession.range(shards).selectExpr("cast(id as int) shard", "cast(null as binary) blob")  # each shard has a file
@@ -415,36 +402,36 @@ def train(docs: DataFrame, order: int = 3, text_col: str = "text", folder: str |
     if order < 2:
         raise ValueError("order is 2 or more")
     spark = docs.sparkSession
+    bound_batches(spark)
     files = files_in(spark, folder, system)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     shards, word_shards = max(8, size // GRAM_BYTES), max(8, size // WORD_BYTES)
-    with _shuffles_cleaned(spark):
-        made = stash(_count_words(texts, files, word_shards, order), "lm-words")
-        most, types, total = made.filter("shard = -1").agg(F.max(F.col("s")[0]), F.sum(F.col("s")[0]), F.sum(F.col("s")[1])).first()
-        often = made.filter("shard = -2").groupBy("key").agg(F.sum(F.col("s")[0]).alias("c")).filter(F.col("c") >= max(20, HOT / 2 * total)).collect()
-        unstash(made)
-        ids = most * word_shards + 2
-        bits, unknown = (ids - 1).bit_length(), ids - 1
-        hot = _hot_keys(spark, files, word_shards, unknown, [r.key for r in often], order)
-        rows = _count_grams(texts, files, word_shards, unknown, bits, hot[order], shards, order)
-        levels: list[Level] = []
-        for n in range(order, 0, -1):
-            last = rows
-            finish = _finish_words(files, word_shards) if n == 1 else _finish_grams(files, n, bits, hot[n], hot.get(n - 1, hot[n][:0]), word_shards if n == 2 else shards)
-            made = stash(_grouped(rows, word_shards if n == 1 else shards, ROWS, finish), f"lm-{n}")
-            if n < order:
-                unstash(last)
-            sums = [F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(6)]
-            found = made.filter("shard < 0").groupBy("shard", "key").agg(*sums).collect()  # one row, and one of each hot context
-            stats = next(r for r in found if r.shard == -1)
-            level = Level(discounts(*(stats[f"s{i}"] for i in range(4))), hot.get(n, np.empty(0, np.uint64)))
-            at = {r.key[0]: tuple(r[f"s{i}"] for i in range(4)) for r in found if r.shard == -2}
-            level.hot_stats = np.array([at.get(k, (0, 0, 0, 0)) for k in level.hot.view(np.int64).tolist()], np.int64).reshape(-1, 4)
-            levels.insert(0, level)
-            rows = made.filter("shard >= 0")
-            rows._stash_path = made._stash_path
-        unstash(made)
+    made = stash(_count_words(texts, files, word_shards, order), "lm-words")
+    most, types, total = made.filter("shard = -1").agg(F.max(F.col("s")[0]), F.sum(F.col("s")[0]), F.sum(F.col("s")[1])).first()
+    often = made.filter("shard = -2").groupBy("key").agg(F.sum(F.col("s")[0]).alias("c")).filter(F.col("c") >= max(20, HOT / 2 * total)).collect()
+    unstash(made)
+    ids = most * word_shards + 2
+    bits, unknown = (ids - 1).bit_length(), ids - 1
+    hot = _hot_keys(spark, files, word_shards, unknown, [r.key for r in often], order)
+    rows = _count_grams(texts, files, word_shards, unknown, bits, hot[order], shards, order)
+    levels: list[Level] = []
+    for n in range(order, 0, -1):
+        last = rows
+        finish = _finish_words(files, word_shards) if n == 1 else _finish_grams(files, n, bits, hot[n], hot.get(n - 1, hot[n][:0]), word_shards if n == 2 else shards)
+        made = stash(_grouped(rows, word_shards if n == 1 else shards, ROWS, finish), f"lm-{n}")
+        if n < order:
+            unstash(last)
+        sums = [F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(6)]
+        found = made.filter("shard < 0").groupBy("shard", "key").agg(*sums).collect()  # one row, and one of each hot context
+        stats = next(r for r in found if r.shard == -1)
+        level = Level(discounts(*(stats[f"s{i}"] for i in range(4))), hot.get(n, np.empty(0, np.uint64)))
+        at = {r.key[0]: tuple(r[f"s{i}"] for i in range(4)) for r in found if r.shard == -2}
+        level.hot_stats = np.array([at.get(k, (0, 0, 0, 0)) for k in level.hot.view(np.int64).tolist()], np.int64).reshape(-1, 4)
+        levels.insert(0, level)
+        rows = made.filter("shard >= 0")
+        rows._stash_path = made._stash_path
+    unstash(made)
     base = (stats.s4, stats.s0, stats.s1, stats.s5)
     return Model(files, order, levels, base, total, types, word_shards, shards, ids)
 

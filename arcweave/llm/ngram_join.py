@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget, stash, unstash, words
+from ._shared import bound_batches, forget, stash, unstash, words
 from .bitmap import bitmap, bits_for, filtered, place, within
 from .components import components
 
@@ -20,8 +21,10 @@ FEWEST, MOST = 1 << 16, 1 << 24
 PIECES = 64
 #: The longest extra prefix that is weighed.
 LONGEST = 8
-#: Rows of a token that meet in one task at a time; longer lists are dealt out in pairs of blocks.
+#: Rows of a token that meet at a time, about; longer lists are dealt out in blocks.
 BLOCK = 512
+#: How often rows of long lists, dealt anew, look for a neighbour, before all remaining pairs are made.
+ROUNDS = 4
 SKETCH = 512
 
 
@@ -52,7 +55,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.nd
     of which costs a verification; l is where the two are least.
     """
     c = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
-    order = np.argsort((c.astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")
+    order = np.argsort(c, kind="stable")  # of equal counts, by hash, as s is sorted
     t = -(-num * len(s) // den)
     most = min(LONGEST, t)
     lists = np.cumsum(c[order].astype(float))
@@ -92,19 +95,30 @@ def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
             blobs.append(zlib.compress(np.uint32(len(big)).tobytes() + big.tobytes() + x[big].tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["piece", "blob"])
 
-    def add(pdfs):
-        total = {}
-        for pdf in pdfs:
-            for k, b in zip(pdf["piece"], pdf["blob"], strict=True):
-                raw = zlib.decompress(b)
-                m = int(np.frombuffer(raw, np.uint32, 1)[0])
-                x = np.frombuffer(raw, np.uint8, part, 4 + 8 * m).astype(np.uint64)
-                x[np.frombuffer(raw, np.uint32, m, 4)] = np.frombuffer(raw, np.uint32, m, 4 + 4 * m)
-                total[k] = total.get(k, 0) + x
-        for k, x in total.items():
-            yield pd.DataFrame({"piece": [k], "blob": [np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes()]})
-
-    parts = texts.mapInArrow(count, "piece int, blob binary").repartition(PIECES, "piece").mapInPandas(add, "piece int, blob binary")
+    def add(counted: bool):
+        def run(batches):
+            total = {}
+            for batch in batches:
+                for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if counted:
+                        raw = zlib.decompress(b)
+                        m = int(np.frombuffer(raw, np.uint32, 1)[0])
+                        x = np.frombuffer(raw, np.uint8, part, 4 + 8 * m).astype(np.uint64)
+                        x[np.frombuffer(raw, np.uint32, m, 4)] = np.frombuffer(raw, np.uint32, m, 4 + 4 * m)
+                    else:
+                        x = np.frombuffer(b, np.uint32).astype(np.uint64)
+                    total[k] = total.get(k, 0) + x
+            for k, x in total.items():
+                blob = np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["piece", "blob"])
+
+        return run
+
+    # In two steps, so that no task reads a blob of each other one: first about the root of their number.
+    groups = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+    parts = texts.mapInArrow(count, "piece int, blob binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    parts = parts.repartition(PIECES * groups, "piece", "g").select("piece", "blob").mapInArrow(add(True), "piece int, blob binary")
+    parts = parts.repartition(PIECES, "piece").mapInArrow(add(False), "piece int, blob binary")
     out = np.zeros(size, np.uint32)  # PIECES rows of a fixed size
     for r in parts.toLocalIterator():
         out[r[0] * part : (r[0] + 1) * part] = np.frombuffer(r[1], np.uint32)
@@ -116,77 +130,132 @@ def _close(ham: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) ->
     return (den + num) * ham <= (den - num) * (a + b)
 
 
-def meet(lists: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
-    """Pairs (a, b, need) of rows that share a token, have different components and sketches that allow a link.
-
-    whole: all such pairs, once a shared token. Else, for each row the partner with the smallest id and
-    the one with the closest sketch: no more than two rows a row, which suffices to link groups of copies up.
-    lists: token, id, comp, n, ell, sketch, list (rows of the token).
-    """
-    nb = F.expr(f"cast((list + {BLOCK - 1}) div {BLOCK} as int)")
-    own = F.pmod(F.xxhash64("id", "token"), nb).cast("int")
-    rows = lists.select("token", "id", "comp", "n", "ell", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("other"))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    rows = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-
-    def pairs(cols):
-        """Indices (i, j) of all pairs within groups of equal (token, lo, hi), across blocks where lo < hi."""
-        same = np.concatenate(([True], (cols["token"][1:] != cols["token"][:-1]) | (cols["lo"][1:] != cols["lo"][:-1]) | (cols["hi"][1:] != cols["hi"][:-1])))
-        first = np.flatnonzero(same)
-        left = np.repeat(np.append(first[1:], len(same)), np.diff(np.append(first, len(same)))) - np.arange(len(same)) - 1
-        i, d = np.arange(len(same)), 1
-        cross = cols["lo"] != cols["hi"]
-        while True:
-            i = i[left[i] >= d]
-            if not len(i):
-                return
-            j = i + d
-            ok = (cols["comp"][i] != cols["comp"][j]) & (cols["id"][i] != cols["id"][j]) & (~cross[i] | (cols["own"][i] != cols["own"][j]))
-            a, b = cols["n"][i], cols["n"][j]
-            ok &= (den * np.minimum(a, b) >= num * np.maximum(a, b))
-            x, y = i[ok], j[ok]
-            ham = np.bitwise_count(cols["sketch"][x] ^ cols["sketch"][y]).sum(axis=1, dtype=np.int64)
-            ok = _close(ham, cols["n"][x], cols["n"][y], num, den)
-            yield x[ok], y[ok], ham[ok]
-            d += 1
-
-    def found(cols):
-        got = list(pairs(cols))
-        i, j, ham = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in range(3))
-        if not whole and len(i):
-            # each row's closest and smallest partners, seen from both sides
-            me, you, ham = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([ham, ham])
-            near = np.lexsort((cols["id"][you], ham, me))
-            least = np.lexsort((cols["id"][you], me))
-            pick = np.concatenate([o[np.concatenate(([True], me[o][1:] != me[o][:-1]))] for o in (near, least)])
-            i, j = me[pick], you[pick]
-        a, b = cols["id"][i], cols["id"][j]
-        out = np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(cols["ell"][i], cols["ell"][j])], axis=1)
-        if not whole:
-            out = np.unique(out, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], ["a", "b", "need"])
-
-    names = ["token", "id", "comp", "n", "ell", "own", "lo", "hi"]
+#: Pairs that are looked at in one go.
+STEP = 1 << 19
+NAMES = ("token", "id", "comp", "n", "ell", "part", "side")
+
+
+def _ranges(cols: dict, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the rows that each row is held against: of its group, those of other components after its own, or
+    where a group has two sides those of the other side. Rows are in the order of groups, sides and components."""
+    size = np.diff(np.append(first, len(cols["id"])))
+    end = np.repeat(first + size, size)
+    group = np.repeat(np.arange(len(first)), size)
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (cols["side"][1:] != cols["side"][:-1])))
+    runs = np.flatnonzero(new)  # of equal sides; a group of two sides has two
+    run = np.cumsum(new) - 1
+    two = np.bincount(group[runs], minlength=len(first)) == 2
+    other = np.append(runs, len(group))[run + 1]
+    new |= np.concatenate(([True], cols["comp"][1:] != cols["comp"][:-1]))
+    own = np.append(np.flatnonzero(new), len(group))[np.cumsum(new)]
+    # Of two sides, the second is held against nothing more; of one, sides 0 and 1 are those of a group that has no other.
+    start = np.where(two[group], other, np.where(cols["side"] < 0, own, end))
+    return np.minimum(start, end), end
+
+
+def _pairs(cols: dict, first: np.ndarray, num: int, den: int):
+    """(i, j, bits in which their sketches differ) of the rows held against one another whose sizes and sketches allow a link."""
+    start, end = _ranges(cols, first)
+    count = end - start
+    done = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + STEP, side="right")) - 1)
+        i = np.repeat(np.arange(at, to), count[at:to])
+        j = np.arange(done[to] - done[at]) - np.repeat(done[at:to] - done[at], count[at:to]) + np.repeat(start[at:to], count[at:to])
+        a, b = cols["n"][i], cols["n"][j]
+        ok = (cols["comp"][i] != cols["comp"][j]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+        i, j = i[ok], j[ok]
+        ham = np.bitwise_count(cols["sketch"][i] ^ cols["sketch"][j]).sum(axis=1, dtype=np.int64)
+        ok = _close(ham, cols["n"][i], cols["n"][j], num, den)
+        yield i[ok], j[ok], ham[ok]
+        at = to
+
+
+def _met(rows: DataFrame, out, schema: str) -> DataFrame:
+    """Apply out(columns, starts of the groups) to rows (token, part, side, ...) whose groups (token, part) meet in a task."""
+    rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", "side", "comp")
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in NAMES}
             cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
             if held is not None:
                 cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
             if not len(cols["id"]):
                 continue
             # The last group may go on in the next batch; a group has two blocks at most.
-            last = (cols["token"] == cols["token"][-1]) & (cols["lo"] == cols["lo"][-1]) & (cols["hi"] == cols["hi"][-1])
-            cut = int(np.argmax(last))
+            first = np.flatnonzero(np.concatenate(([True], (cols["token"][1:] != cols["token"][:-1]) | (cols["part"][1:] != cols["part"][:-1]))))
+            cut = int(first[-1])
             held = {c: v[cut:] for c, v in cols.items()}
             if cut:
-                yield found({c: v[:cut] for c, v in cols.items()})
+                yield from out({c: v[:cut] for c, v in cols.items()}, first[:-1])
         if held is not None:
-            yield found(held)
+            yield from out(held, np.zeros(1, np.int64))
 
-    return rows.select(*names, "sketch").mapInArrow(run, "a long, b long, need int")
+    return rows.select(*NAMES, "sketch").mapInArrow(run, schema)
+
+
+def neighbours(lists: DataFrame, marks: DataFrame, num: int, den: int, salt: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components: of each row at most two, with the closest sketch and with the smallest id that it meets.
+
+    A row meets those of its block of a token's list, about BLOCK, and the smallest of the whole list: the work is in
+    proportion to the rows, however long a list is. lists: token, id, list (rows of the token); marks: id, comp, n, ell, sketch.
+    """
+    blocks = F.expr(f"cast((list + {BLOCK - 1}) div {BLOCK} as int)")
+    plain = ("token", "id", "comp", "n", "ell", "sketch")
+    rows = lists.withColumn("part", F.pmod(F.xxhash64("id", "token", F.lit(salt)), blocks).cast("int")).join(marks, "id").select(*plain, "part")
+    leads = lists.filter(f"list > {BLOCK}").groupBy("token").agg(F.min("id").alias("id"), F.max(blocks).alias("k"))
+    leads = leads.join(marks, "id").select(*plain, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    rows = rows.unionByName(leads).withColumn("side", F.lit(-1))
+
+    def out(cols, first):
+        for i, j, ham in _pairs(cols, first, num, den):
+            me, you, ham = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([ham, ham])
+            me, you = cols["id"][me], cols["id"][you]
+            near, least = np.lexsort((you, ham, me)), np.lexsort((you, me))
+            pick = np.unique(np.concatenate([o[np.concatenate(([True], me[o][1:] != me[o][:-1]))] for o in (near, least)])) if len(me) else near
+            yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (me, you, ham)], ["me", "you", "ham"])
+
+    met = _met(rows, out, "me long, you long, ham long")
+    best = met.groupBy("me").agg(F.min(F.struct("ham", "you"))["you"].alias("near"), F.min("you").alias("least"))
+    pairs = best.select("me", F.explode(F.array_distinct(F.array("near", "least"))).alias("you"))
+    return pairs.select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b")).distinct()
+
+
+def across(lists: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b, need), once a shared token, of rows that share tokens, are of different components and may be linked.
+
+    Lists of one component make none and fall out. Of the others, the rows of the largest component are held
+    against the rest alone, and those against one another, in blocks: a group of copies costs its rows, not its pairs.
+    """
+    sizes = lists.join(marks.select("id", "comp"), "id").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("rows")).filter("rows > top.c")
+    tops = tops.select("token", "rows", F.col("top.comp").alias("big"), F.expr(f"cast((top.c + {BLOCK - 1}) div {BLOCK} as int)").alias("bigs"), F.expr(f"cast((rows - top.c + {BLOCK - 1}) div {BLOCK} as int)").alias("rests"))
+    tops = stash(tops, "tops")
+    bits = bits_for(tops.count())
+    sent = lists.sparkSession.sparkContext.broadcast(bitmap(tops, bits, "token"))
+    some = filtered(lists.select("token", "id"), sent, bits, ["token"])
+    # Lists of more than a thousandth of the rows, at most a thousand, come to the rows; the others are met by token.
+    hot = F.broadcast(tops.filter(F.col("rows") > lists.count() // 1000))
+    rows = some.join(hot, "token").unionByName(some.join(hot, "token", "left_anti").join(tops, "token")).join(marks, "id")
+    own = lambda n: F.pmod(F.xxhash64("id", "token"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda x, y, side: F.struct((x * (F.col("bigs") + F.col("rests")) + y).alias("part"), side.cast("int").alias("side"))
+    # Places in a grid: rests against bigs, then rests against rests; a block against itself has one side, -1.
+    mine = F.transform(each("rests"), lambda y: spot(own("bigs") + F.col("rests"), y, F.lit(0)))
+    others = F.transform(each("bigs"), lambda x: spot(x + F.col("rests"), own("rests"), F.lit(1)))
+    among = F.transform(each("rests"), lambda y: spot(F.least(own("rests"), y), F.greatest(own("rests"), y), F.when(own("rests") == y, -1).when(own("rests") < y, 0).otherwise(1)))
+    places = F.when(F.col("comp") == F.col("big"), mine).otherwise(F.concat(others, among))
+    rows = rows.select("token", "id", "comp", "n", "ell", "sketch", F.explode(places).alias("p")).select("token", "id", "comp", "n", "ell", "sketch", "p.part", "p.side")
+
+    def out(cols, first):
+        for i, j, _ in _pairs(cols, first, num, den):
+            a, b = cols["id"][i], cols["id"][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(cols["ell"][i], cols["ell"][j]).astype(np.int32))], ["a", "b", "need"])
+
+    return _met(rows, out, "a long, b long, need int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -223,9 +292,9 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     1. Counters of all documents' shingles give an order, rarest first, and each set its prefix.
        Rows with the same set are one from here on, under their smallest id.
-    2. Tokens of prefixes that more than one set has make lists. Long lists are dealt in pairs of blocks.
-    3. Rows of a list link up to their closest and smallest partners, which are verified with the whole sets and
-       make first components: groups of copies are one now, without their pairs having been made.
+    2. Tokens of prefixes that more than one set has make lists. Long lists are dealt out in blocks.
+    3. Each row is verified against the closest and the smallest partner that it meets in its blocks, and the links make first
+       components: groups of copies are one now, without their pairs having been made.
     4. All remaining pairs, of different components, that share as many tokens as the shorter extra
        prefix of the two asks for and whose sketches allow a link, are verified.
 
@@ -235,6 +304,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     texts gets each text's n_shingles and one component_id, as those texts are linked through it. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("ids must be whole numbers")
@@ -261,23 +331,26 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "sig", "prefix", "ell", "sketch"])
 
     known = stash(docs.mapInArrow(prepare, "id long, n long, sig binary, prefix array<long>, ell int, sketch binary"), "sets")
-    firsts = known.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"))
-    own = known.filter("sig is not null").join(firsts, ["sig", "id"]).dropDuplicates(["sig", "id"])
+    firsts = known.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"))
+    own = known.filter("sig is not null").join(firsts.select("sig", "id"), ["sig", "id"]).dropDuplicates(["sig", "id"])
     own = stash(own.select("id", "n", "ell", "sketch", "prefix"), "own")
+    whole, known = known, stash(known.select("id", "n", "sig"), "rows")
+    firsts = known.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"))
+    unstash(whole)
     shared = stash(own.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("list")).filter("list > 1"), "shared")
     bits = bits_for(shared.count())
     common = spark.sparkContext.broadcast(bitmap(shared, bits, "token"))
 
     # Most tokens are of one set: the map keeps them from being dealt out again.
     tokens = filtered(own.select("id", F.explode("prefix").alias("token")), common, bits, ["token"])
-    lists = tokens.join(shared, "token").join(own.select("id", "n", "ell", "sketch"), "id")
-    lists = stash(lists.select("token", "id", "n", "ell", "sketch", "list"), "lists")
+    lists = stash(tokens.join(shared, "token").select("token", "id", "list"), "lists")
+    marks = stash(own.select("id", "n", "ell", "sketch"), "marks")
     for df in (own, shared):
         unstash(df)
 
-    first = stash(meet(lists.withColumn("comp", F.col("id")), num, den, whole=False).select("a", "b").distinct(), "first")
-    # Whoever has a partner at all is in one of these pairs.
-    partners = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    first = stash(neighbours(lists, marks.withColumn("comp", F.col("id")), num, den, 0), "first")
+    # Whoever has a partner at all is in one of these pairs, or in a list of several blocks.
+    partners = first.select(F.explode(F.array("a", "b")).alias("id")).union(lists.filter(f"list > {BLOCK}").select("id")).distinct()
     spots = bits_for(partners.count())
     having = spark.sparkContext.broadcast(bitmap(partners, spots, "id"))
 
@@ -288,19 +361,37 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
     texts = stash(docs.filter("id is not null").select("id", "t", place(spots, "id").alias("h")).mapInArrow(pack, "id long, packed binary"), "texts")
-    links = stash(verified(first, texts, n, num, den), "links")
-    comps = components(links)
-
+    links = [stash(verified(first, texts, n, num, den), "links")]
+    comps = components(links[0])
     rest = filtered(lists, having, spots, ["id"])
-    placed = rest.join(comps.withColumnRenamed("comp", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id"))
-    rest = meet(placed, num, den, whole=True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need")
-    more = stash(verified(rest.select("a", "b"), texts, n, num, den), "links")
-    for df in (lists, first, texts):
+    placed = lambda: marks.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    for salt in range(1, ROUNDS):
+        more = stash(neighbours(rest.filter(f"list > {BLOCK}"), placed(), num, den, salt), "pairs")
+        if more.isEmpty():
+            unstash(more)
+            break
+        links.append(stash(verified(more, texts, n, num, den), "links"))
+        unstash(more)
+        if links[-1].isEmpty():
+            break
+        comps = components(reduce(DataFrame.unionByName, links))
+    more = across(rest, placed(), num, den).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need")
+    links.append(stash(verified(more.select("a", "b"), texts, n, num, den), "links"))
+    for df in (lists, marks, first, texts):
         unstash(df)
-    final = stash(components(links.unionByName(more)), "comps")
-    for df in (links, more):
+    final = components(reduce(DataFrame.unionByName, links)).select(F.col("id").alias("first"), F.col("comp"))
+    groups = stash(firsts.withColumnRenamed("id", "first").join(final, "first", "left").select("sig", "c", F.coalesce("comp", "first").alias("comp")), "groups")
+    for df in links:
         unstash(df)
-    out = known.select("id", "n", "sig").join(firsts.select("sig", F.col("id").alias("first")), "sig", "left")
-    out = out.join(final.select(F.col("id").alias("first"), "comp"), "first", "left")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "first", "id"))
+    # Rows meet their group's component. Groups of more than a thousandth of the rows, at most a thousand, come to the rows;
+    # so do rows without shingles, which are in none.
+    rows, alone = known.select("id", "n", "sig"), F.col("sig").isNull()
+    hot = F.broadcast(groups.filter(F.col("c") > known.count() // 1000).select("sig", "comp"))
+    parts = [
+        rows.filter(alone).withColumn("comp", F.lit(None).cast("long")),
+        rows.filter(~alone).join(hot, "sig"),
+        rows.filter(~alone).join(hot, "sig", "left_anti").join(groups.select("sig", "comp"), "sig", "left"),
+    ]
+    out = reduce(DataFrame.unionByName, parts)
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), comp.cast(kind).alias("component_id"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget, sample_ids, texts_of
+from ._shared import bound_batches, forget, sample_ids, texts_of
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Names of a line's own features; the neighbours' are the same ones of the lines before and after.
@@ -181,6 +181,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) of every row, whole texts. Null text is empty, which is one empty line; null and
     repeated ids stay. Rows are scored in Arrow batches of up to 256 texts, long ones whole; columns besides
     the two are ignored, whatever their names, and an empty table gives an empty result."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

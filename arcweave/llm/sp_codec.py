@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept
+from ._shared import bound_batches, kept, trim
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -266,6 +266,7 @@ class Codec:
         """Drop the memos, so that a worker without a task holds the model alone."""
         self.memo, self.old, self.n_fits = {}, {}, 0
         self.fits.clear()
+        trim()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text. No piece crosses certain borders (_cuts), so all paths meet there: what
@@ -337,6 +338,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     A word without end goes through the search in a bounded window, as all do. Columns not in `keep` are ignored,
     whatever their names; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     digest, parts = _sent(docs, model)
     more = keep or {}
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget, sample_ids, texts_of
+from ._shared import bound_batches, forget, sample_ids, texts_of
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
 def _scorer(docs: DataFrame, model: Model):
     """A function that makes, for a task, a function which scores texts, with a memo of its own."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
 
     def start():

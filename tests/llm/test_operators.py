@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,10 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcweave.llm import kdtree, kn_lm, quality_crf, source_mix, toxicity
+from arcweave.llm import ngram_join as ngram_join_module
 from arcweave.llm._shared import words
 from arcweave.llm.components import components
 from arcweave.llm.exact_dedup import exact_dedup
-from arcweave.llm.line_dedup import line_dedup
+from arcweave.llm.line_dedup import line_dedup, repeated_runs
 from arcweave.llm.ngram_join import ngram_join, prefix, shingles
 from arcweave.llm.url_filter import best_rule, split_url, url_filter
 
@@ -206,6 +208,31 @@ def test_line_dedup_against_brute_force(spark, nothing):
     assert line_dedup(nothing).count() == 0
 
 
+def test_runs_of_blocks(spark):
+    rng = random.Random(4)
+    rows = {(d, 7, rng.randrange(60), rng.randint(1, 5)) for d in range(6) for _ in range(12)}
+    got = repeated_runs(spark.createDataFrame(sorted(rows), "id long, u long, first int, size int")).collect()
+    want = {(d, i) for d, _, first, size in rows for i in range(first, first + size)}
+    assert sorted((r.id, i) for r in got for i in range(r.first, r.end)) == sorted(want)
+    ends = {(r.id, r.end) for r in got}
+    assert all((r.id, r.first) not in ends for r in got)
+
+
+def test_line_dedup_takes_time_in_proportion_to_lines(spark):
+    """A text of many copied and many own lines: twice the lines, no more than three times the time."""
+    took = []
+    for n in (10_000, 10_000, 20_000):  # the first one warms up
+        shared = [f"shared line {i} of the two texts " + "w " * 60 for i in range(n)]
+        own = [f"own line {i}" for i in range(n)]
+        mixed = [x for pair in zip(shared, own, strict=True) for x in pair]
+        df = spark.createDataFrame([(1, "\n".join(shared)), (2, "\n".join(mixed))], "doc_id long, text string")
+        began = time.perf_counter()
+        got = {r.doc_id: (r["__n_lines"], r["__n_removed"], r.text) for r in line_dedup(df).collect()}
+        took.append(time.perf_counter() - began)
+        assert got[1][:2] == (n, 0) and got[2][:2] == (2 * n, n) and got[2][2] == "\n".join(own)
+    assert took[2] < 3 * max(took[1], 5)
+
+
 def test_line_dedup_odd_rows(docs):
     out = line_dedup(docs, min_words=50)
     assert out.count() == len(odd_rows()) and out.filter("text is null").count() == 1
@@ -249,6 +276,50 @@ def test_ngram_join_against_brute_force(spark, docs, n, num):
     assert {r[0]: (r[1], r[2]) for r in ngram_join(df, n, num, 100).collect()} == brute_join(rows, n, num, 100)
 
 
+def near_copies(rng, many, families=1, words_=200, edits=1):
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{i}" if i % 2 else f"w{i}" for i in range(words_)]
+        for i in range(many // families):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"v{f}x{i}y{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_ngram_join_in_many_blocks(spark, monkeypatch):
+    """Lists far longer than a block, of several families and of rows that only chains link, against brute force."""
+    monkeypatch.setattr(ngram_join_module, "BLOCK", 4)
+    rng = random.Random(11)
+    rows = near_copies(rng, 90, families=3, words_=60, edits=2)
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(40):  # each differs from the one before in one word more
+        chain[i] = f"d{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_join(rows, 3, 90, 100)
+    assert {r[0]: (r[1], r[2]) for r in ngram_join(df, 3, 90, 100).collect()} == want
+    assert 3 < len({c for _, c in want.values()}) < 100
+
+
+@pytest.mark.parametrize("many", [2000, 6000])
+def test_ngram_join_verifies_few_pairs_of_copies(spark, monkeypatch, many):
+    """Two a row at most, however many copies there are."""
+    asked, check = [], ngram_join_module.verified
+
+    def counted(pairs, *more):
+        pairs = pairs.cache()
+        asked.append(pairs.count())
+        return check(pairs, *more)
+
+    monkeypatch.setattr(ngram_join_module, "verified", counted)
+    df = spark.createDataFrame(near_copies(random.Random(2), many), "doc_id long, text string")
+    assert {r.component_id for r in ngram_join(df, 3, 90, 100).collect()} == {0}
+    assert sum(asked) <= 2 * many
+
+
 def test_ngram_join_odd_rows(docs, nothing):
     rows = odd_rows()
     got = ngram_join(docs, 3, 90, 100).collect()

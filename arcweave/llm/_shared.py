@@ -8,9 +8,9 @@ import ctypes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path, shared_dir, stash, unstash
+from ..sources.scratch import new_path, shared_dir, shuffles_cleaned, stash, unstash
 
-__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "sample_ids", "shared_dir", "stash", "table", "texts_of", "trim", "unstash", "words"]
+__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "sample_ids", "shared_dir", "shuffles_cleaned", "stash", "table", "texts_of", "trim", "unstash", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import shuffles_cleaned
+
 PIECE = 1 << 16
 
 
@@ -39,7 +41,9 @@ def bitmap(rows: DataFrame, bits: int, *columns: str) -> np.ndarray:
     rows = rows.select(place(bits, *columns).alias("h")).distinct()
     rows = rows.select(F.expr(f"cast(h div {PIECE} as int)").alias("piece"), F.expr(f"cast(h % {PIECE} as int)").alias("at"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows.repartition("piece").mapInArrow(run, "piece int, blob binary").toLocalIterator():
+    with shuffles_cleaned(rows.sparkSession):
+        found = rows.repartition("piece").mapInArrow(run, "piece int, blob binary").collect()  # 16 MB at most
+    for r in found:
         out[r[0] * PIECE // 8 : (r[0] + 1) * PIECE // 8] = np.frombuffer(r[1], np.uint8)
     return out
 

@@ -12,17 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, forget, stash, unstash, words
+from ._shared import bound_batches, forget, shuffles_cleaned, stash, unstash, words
 from .bitmap import bitmap, bits_for, filtered, place, within
 from .components import components
 
-#: Fewest and most counters that the order of shingles comes from: most is the bound of what all workers are sent.
-FEWEST, MOST = 1 << 16, 1 << 24
-PIECES = 64
+#: Counters that the order of shingles comes from, the same number at every size: 16 MB that all workers are sent.
+COUNTERS, PIECES = 1 << 22, 64
 #: The longest extra prefix that is weighed.
 LONGEST = 8
 #: Rows of a token that meet at a time, about; longer lists are dealt out in blocks.
-BLOCK = 512
+BLOCK = 256
 #: How often rows of long lists, dealt anew, look for a neighbour, before all remaining pairs are made.
 ROUNDS = 4
 SKETCH = 512
@@ -72,13 +71,20 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Documents per shingle, in counters that shingles share: of all documents, whole texts.
+    """Documents per shingle, in counters that shingles share: of all documents, whole texts."""
+    size, part = COUNTERS, COUNTERS // PIECES
 
-    There are about an eighth as many counters as shingles, within FEWEST and MOST.
-    """
-    letters = texts.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
-    size = min(MOST, max(FEWEST, 1 << max(0, (letters // 50).bit_length() - 1)))
-    part = size // PIECES
+    def packed(x):
+        """Small numbers as bytes, the few larger ones beside them."""
+        big = np.flatnonzero(x > 254).astype(np.uint32)
+        return zlib.compress(np.uint32(len(big)).tobytes() + big.tobytes() + x[big].astype(np.uint32).tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
+
+    def unpacked(blob):
+        raw = zlib.decompress(blob)
+        m = int(np.frombuffer(raw, np.uint32, 1)[0])
+        x = np.frombuffer(raw, np.uint8, part, 4 + 8 * m).astype(np.uint64)
+        x[np.frombuffer(raw, np.uint32, m, 4)] = np.frombuffer(raw, np.uint32, m, 4 + 4 * m)
+        return x
 
     def count(batches):
         forget()
@@ -88,40 +94,27 @@ def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
                 got = [shingles(t, n) for t in batch.column(0).slice(at, 1024).to_pylist()]
                 if got:
                     np.add.at(total, (np.concatenate(got) & np.uint64(size - 1)).astype(np.int64), 1)
-        # Small numbers as bytes, the few larger ones beside them.
-        blobs = []
-        for x in np.split(total, PIECES):
-            big = np.flatnonzero(x > 254).astype(np.uint32)
-            blobs.append(zlib.compress(np.uint32(len(big)).tobytes() + big.tobytes() + x[big].tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes(), 1))
+        blobs = [packed(x) for x in np.split(total, PIECES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["piece", "blob"])
 
-    def add(counted: bool):
-        def run(batches):
-            total = {}
-            for batch in batches:
-                for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if counted:
-                        raw = zlib.decompress(b)
-                        m = int(np.frombuffer(raw, np.uint32, 1)[0])
-                        x = np.frombuffer(raw, np.uint8, part, 4 + 8 * m).astype(np.uint64)
-                        x[np.frombuffer(raw, np.uint32, m, 4)] = np.frombuffer(raw, np.uint32, m, 4 + 4 * m)
-                    else:
-                        x = np.frombuffer(b, np.uint32).astype(np.uint64)
-                    total[k] = total.get(k, 0) + x
-            for k, x in total.items():
-                blob = np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["piece", "blob"])
-
-        return run
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + unpacked(b.as_py())
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(np.minimum(x, (1 << 32) - 1))], pa.binary())], ["piece", "blob"])
 
     # In two steps, so that no task reads a blob of each other one: first about the root of their number.
     groups = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     parts = texts.mapInArrow(count, "piece int, blob binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
-    parts = parts.repartition(PIECES * groups, "piece", "g").select("piece", "blob").mapInArrow(add(True), "piece int, blob binary")
-    parts = parts.repartition(PIECES, "piece").mapInArrow(add(False), "piece int, blob binary")
-    out = np.zeros(size, np.uint32)  # PIECES rows of a fixed size
-    for r in parts.toLocalIterator():
-        out[r[0] * part : (r[0] + 1) * part] = np.frombuffer(r[1], np.uint32)
+    parts = parts.repartition(PIECES * groups, "piece", "g").select("piece", "blob").mapInArrow(add, "piece int, blob binary")
+    parts = parts.repartition(PIECES, "piece").mapInArrow(add, "piece int, blob binary")
+    out = np.zeros(size, np.uint32)
+    with shuffles_cleaned(texts.sparkSession):
+        found = parts.collect()  # PIECES rows of a bounded size
+    for k, blob in found:
+        out[k * part : (k + 1) * part] = unpacked(blob)
     return out - np.minimum(out, np.uint32(np.median(out)))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, forget, sample_ids, texts_of
+from ._shared import bound_batches, forget, sample_ids, texts_of, trim
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -146,7 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     rows = texts_of(docs, [*confirmed, *others], id_col, text_col)
     confirmed, others = set(confirmed), set(others)
     marks = np.array([(i in confirmed, i in others) for i, _ in rows], bool)
-    return nnpu(*sparse([t for _, t in rows]), marks[:, 0], prior, marks[:, 1])
+    features = sparse([t for _, t in rows])
+    del rows
+    out = nnpu(*features, marks[:, 0], prior, marks[:, 1])
+    del features
+    trim()
+    return out
 
 
 def _scorer(docs: DataFrame, model: Model):

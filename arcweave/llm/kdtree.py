@@ -14,93 +14,138 @@ from ._shared import stash
 
 #: Points of a leaf; vectors of a shard; queries of a block.
 LEAF, SHARD, BLOCK = 64, 16384, 8192
-#: The largest component: sums of products stay exact in 64-bit floats below this and 1024 dimensions.
-LARGEST = 1 << 21
+#: A place that no candidate has taken, and where sums of products are no longer exact as 64-bit floats.
+FREE, EXACT = np.iinfo(np.int64).min, 2.0**53
 
 
 @dataclass
 class Tree:
-    """Leaves of a KD-tree: points in the order of leaves, tight boxes and the smallest id of each leaf."""
+    """A KD-tree: points in the order of leaves; of each node, parents first, its tight box, smallest id and children, -1 for a
+    leaf, whose number `right` has then."""
 
     points: np.ndarray
     ids: np.ndarray
     starts: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    least: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def __post_init__(self):
+        first, n = self.starts[:-1], len(self.left)
+        dim = self.points.shape[1]
+        self.low, self.high, self.least = np.zeros((n, dim)), np.zeros((n, dim)), np.zeros(n, np.int64)
+        if not len(self.ids):
+            return
+        leaves = np.flatnonzero(self.left < 0)
+        at = self.right[leaves]
+        self.low[leaves] = np.minimum.reduceat(self.points, first)[at]
+        self.high[leaves] = np.maximum.reduceat(self.points, first)[at]
+        self.least[leaves] = np.minimum.reduceat(self.ids, first)[at]
+        for i in np.flatnonzero(self.left >= 0)[::-1]:
+            l, r = self.left[i], self.right[i]  # noqa: E741
+            self.low[i], self.high[i], self.least[i] = np.minimum(self.low[l], self.low[r]), np.maximum(self.high[l], self.high[r]), min(self.least[l], self.least[r])
 
 
 def build(points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Tree:
     """Median splits along the widest side of the tight box; points equal in all sides split by id."""
     order = np.lexsort((ids,))
     points, ids = points[order], ids[order]
-    todo, parts = [np.arange(len(ids))], []
+    todo, parts, left, right = [(np.arange(len(ids)), -1)], [], [], []
     while todo:
-        i = todo.pop()
+        i, parent = todo.pop()
+        if parent >= 0:  # the left one comes first
+            (left if left[parent] == -2 else right)[parent] = len(left)
         if len(i) > leaf:
             p = points[i]
             wide = p.max(axis=0) - p.min(axis=0)
             side = int(np.argmax(wide))
             by = i[np.argsort(p[:, side], kind="stable")] if wide[side] else i
-            todo += [by[len(by) // 2 :], by[: len(by) // 2]]
+            todo += [(by[len(by) // 2 :], len(left)), (by[: len(by) // 2], len(left))]
+            left.append(-2)
+            right.append(-2)
         else:
+            left.append(-1)
+            right.append(len(parts))
             parts.append(np.sort(i))
     starts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    if not len(ids):
-        return Tree(points, ids, np.zeros(1, np.int64), points, points, ids)
     at = np.concatenate(parts)
-    points, ids = points[at], ids[at]
-    first = starts[:-1]
-    return Tree(points, ids, starts, np.minimum.reduceat(points, first), np.maximum.reduceat(points, first), np.minimum.reduceat(ids, first))
+    return Tree(points[at], ids[at], starts, np.array(left, np.int32), np.array(right, np.int32))
 
 
 class Search:
     """The k best of a block of queries so far, over the trees that were searched.
 
-    Rows of scores and found are in order of rank; -inf marks places that are still free.
+    Rows of scores and found are in order of rank; FREE marks places that no candidate has.
     """
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries.astype(np.float64), k
+        self.ids, self.whole, self.queries, self.k = ids, queries, queries.astype(np.float64), k
         self.up, self.down = np.maximum(self.queries, 0), np.minimum(self.queries, 0)
-        self.scores = np.full((len(ids), k), -np.inf)
+        self.scores = np.full((len(ids), k), FREE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.visits = 0
+        self.visits = self.opened = 0
 
     def add(self, tree: Tree) -> None:
-        """Search a tree, each query its best boxes first.
+        """Search a tree from its root, each query its best boxes first.
 
-        A box's bound is the product of the query with the box's best corner. In each step a query
-        goes on to its next boxes, twice as many as before, but not to those below its kth score
-        so far, which carries over from step to step and tree to tree, nor to those that only reach it
-        with larger ids. Queries that come to the same box are multiplied with it at once.
+        A box's bound is the product of the query with the box's best corner. A query goes down to the children of
+        a node unless its bound is below the query's kth score so far, which carries over from tree to tree, or only
+        reaches it with larger ids. Of the leaves that are left, it goes in each step to the next best, twice as many as
+        before, while they pass the kth score. Queries that come to the same box are multiplied with it at once.
         """
-        if not len(tree.ids) or not len(self.ids):
+        if not len(tree.ids) or not len(self.ids) or not self.queries.shape[1]:
+            if len(tree.ids) and len(self.ids):
+                self._take(np.arange(len(self.ids)), tree, slice(0, len(tree.ids)), False)
             return
-        points = tree.points.astype(np.float64)
-        bounds = self.up @ tree.high.T.astype(np.float64) + self.down @ tree.low.T.astype(np.float64)
+        size = float(np.abs(self.queries).max(initial=0)) * max(float(np.abs(tree.low).max()), float(np.abs(tree.high).max())) * self.queries.shape[1]
+        if size >= 2.0**63:
+            raise OverflowError("scores don't fit 64 bits")
+        exact = size < EXACT
+        slack = 0.0 if exact else size * 1e-12
+        nodes, alive, leaves, columns = np.zeros(1, np.int64), np.ones((len(self.ids), 1), bool), [], []
+        while len(nodes):
+            bound = self.up @ tree.high[nodes].T + self.down @ tree.low[nodes].T + slack
+            kth = self.scores[:, -1:].astype(np.float64)
+            alive &= (bound > kth) | (bound == kth) & (tree.least[nodes] < self.found[:, -1:])
+            self.opened += int(alive.sum())
+            leaf = tree.left[nodes] < 0
+            leaves.append(nodes[leaf])
+            columns.append(np.where(alive[:, leaf], bound[:, leaf], -np.inf))
+            inner = ~leaf & alive.any(axis=0)
+            nodes, alive = np.concatenate([tree.left[nodes[inner]], tree.right[nodes[inner]]]).astype(np.int64), np.concatenate([alive[:, inner]] * 2, axis=1)
+        leaves, bounds = np.concatenate(leaves), np.concatenate(columns, axis=1)
         order = np.argsort(-bounds, axis=1, kind="stable")
-        at, step, alive = 0, 2, np.arange(len(self.ids))
-        while len(alive) and at < order.shape[1]:
-            boxes = order[alive, at : at + step]
-            near = np.take_along_axis(bounds[alive], boxes, axis=1)
-            kth, last = self.scores[alive, -1:], self.found[alive, -1:]
-            need = (near > kth) | (near == kth) & (tree.least[boxes] < last)
-            q, b = alive[np.nonzero(need)[0]], boxes[need]
+        at, step, going = 0, 2, np.arange(len(self.ids))
+        while len(going) and at < order.shape[1]:
+            boxes = order[going, at : at + step]
+            near = np.take_along_axis(bounds[going], boxes, axis=1)
+            kth, last = self.scores[going, -1:].astype(np.float64), self.found[going, -1:]
+            need = (near > kth) | (near == kth) & (tree.least[leaves[boxes]] < last)
+            need &= near > -np.inf
+            q, b = going[np.nonzero(need)[0]], boxes[need]
             by = np.argsort(b, kind="stable")
             self.visits += len(b)
-            got = []
             for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1) if len(by) else []:
-                box, who = b[part[0]], q[part]
-                rows = slice(tree.starts[box], tree.starts[box + 1])
-                score = self.queries[who] @ points[rows].T
-                i, j = np.nonzero((score >= self.scores[who, -1:]) & (tree.ids[rows] != self.ids[who][:, None]))
-                got.append((who[i], score[i, j], tree.ids[rows][j]))
-            if got:
-                self._merge(*map(np.concatenate, zip(*got, strict=True)))
-            alive = alive[near[:, -1] >= self.scores[alive, -1]]  # later boxes have lower bounds
+                n = tree.right[leaves[b[part[0]]]]
+                self._take(q[part], tree, slice(tree.starts[n], tree.starts[n + 1]), exact)
+            self._settle()
+            going = going[near[:, -1] >= self.scores[going, -1].astype(np.float64)]  # later boxes have lower bounds
             at, step = at + step, step * 2
 
+    def _take(self, who: np.ndarray, tree: Tree, rows: slice, exact: bool) -> None:
+        if exact:
+            score = (self.queries[who] @ tree.points[rows].T.astype(np.float64)).astype(np.int64)
+        else:
+            score = self.whole[who].astype(np.int64) @ tree.points[rows].T.astype(np.int64)
+        i, j = np.nonzero((score >= self.scores[who, -1:]) & (tree.ids[rows] != self.ids[who][:, None]))
+        self.got = [*getattr(self, "got", []), (who[i], score[i, j], tree.ids[rows][j])]
+        if not self.queries.shape[1]:
+            self._settle()
+
+    def _settle(self) -> None:
+        got, self.got = getattr(self, "got", []), []
+        if got:
+            self._merge(*map(np.concatenate, zip(*got, strict=True)))
+
     def _merge(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         rows = np.unique(q)
         if not len(rows):
@@ -108,7 +153,7 @@ class Search:
         q = np.concatenate([q, np.repeat(rows, self.k)])
         score = np.concatenate([score, self.scores[rows].ravel()])
         ids = np.concatenate([ids, self.found[rows].ravel()])
-        order = np.lexsort((ids, -score, q))
+        order = np.lexsort((ids, ~score, q))
         q = q[order]
         first = np.searchsorted(q, rows)
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
@@ -131,7 +176,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     Components count as floor(scale * x). A query's own id is no candidate; ties go to smaller ids; fewer
     than k candidates are all returned. Null vectors and vectors that hold null, NaN or infinity take no part, as do
     null ids. Rows that repeat an id count as often as they come, as candidates and as queries.
-    Vectors must have as many components as the others; magnitudes beyond 2^21 after scaling raise. Other columns are ignored.
+    Vectors with fewer components than the longest count as if zeros followed; so an empty one scores 0 with all. Scores
+    are exact; where their sums may pass 64 bits it raises. An empty table gives an empty result. Other columns are ignored.
 
     Vectors are dealt by hash into shards of about SHARD rows, each of which becomes a KD-tree, packed
     in one row. Queries form blocks, also packed; a task takes a block past one tree after the
@@ -140,60 +186,66 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     """
     spark = vectors.sparkSession
     rows = stash(whole_parts(vectors, id_col, vec_col, scale), "vectors")
-    total = rows.count()
+    total, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards, queries = max(1, -(-total // SHARD)), rows.filter(is_query(F.col("id")))
     n_queries = queries.count()
     # Small sets of queries still give every core a block.
     blocks = max(1, -(-n_queries // BLOCK), min(spark.sparkContext.defaultParallelism, n_queries // 256))
 
+    def matrix(vectors):
+        out = np.zeros((len(vectors), dim), np.int64)
+        for i, v in enumerate(vectors):
+            out[i, : len(v)] = v
+        return out
+
+    def narrow(points):
+        """(bytes of a number, the numbers)."""
+        size = next(k for k in (2, 4, 8) if k == 8 or not points.size or max(-int(points.min()), int(points.max())) < 1 << (8 * k - 1))
+        return size, points.astype(f"<i{size}").tobytes()
+
     def pack(key, pdf):
-        ids = pdf["id"].to_numpy(np.int64)
-        points = np.array(pdf["v"].tolist(), np.int64).reshape(len(ids), -1)
-        if points.size and np.abs(points).max() > LARGEST:
-            raise ValueError("a component is too large for exact sums")
-        t = build(points, ids)
-        size = np.int16 if not points.size or np.abs(points).max() < 1 << 15 else np.int32
-        return pd.DataFrame({"shard": [int(key[0])], "dim": [points.shape[1]], "wide": [size is np.int32], "points": [t.points.astype(size).tobytes()], "ids": [t.ids.tobytes()], "starts": [t.starts.tobytes()]})
+        t = build(matrix(pdf["v"]), pdf["id"].to_numpy(np.int64))
+        size, points = narrow(t.points)
+        return pd.DataFrame({"shard": [int(key[0])], "wide": [size], "points": [points], "ids": [t.ids.tobytes()], "starts": [t.starts.tobytes()], "nodes": [np.stack([t.left, t.right]).tobytes()]})
 
     spread = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    trees = rows.withColumn("shard", spread).groupBy("shard").applyInPandas(pack, "shard int, dim int, wide boolean, points binary, ids binary, starts binary")
+    trees = rows.withColumn("shard", spread).groupBy("shard").applyInPandas(pack, "shard int, wide int, points binary, ids binary, starts binary, nodes binary")
     trees = stash(trees, "trees")
     asked = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(blocks)).cast("int"))
 
     def pack_queries(key, pdf):
         order = np.argsort(pdf["id"].to_numpy(np.int64), kind="stable")
-        points = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1)[order]
-        return pd.DataFrame({"block": [int(key[0])], "q_ids": [pdf["id"].to_numpy(np.int64)[order].tobytes()], "q_points": [points.astype(np.int32).tobytes()]})
+        return pd.DataFrame({"block": [int(key[0])], "q_ids": [pdf["id"].to_numpy(np.int64)[order].tobytes()], "q_points": [matrix(pdf["v"])[order].tobytes()]})
 
     packed = asked.groupBy("block").applyInPandas(pack_queries, "block int, q_ids binary, q_points binary")
     # Each block of queries goes to each shard: the stated set of queries against all rows, in blocks.
     packed = stash(packed, "queries")
     empty = F.lit(None).cast("binary")
-    each = trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "shard", "dim", "wide", "points", "ids", "starts", empty.alias("q_ids"), empty.alias("q_points"))
-    lead = packed.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), F.lit(0).alias("dim"), F.lit(False).alias("wide"), empty.alias("points"), empty.alias("ids"), empty.alias("starts"), "q_ids", "q_points")
+    tree = ("points", "ids", "starts", "nodes")
+    each = trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "shard", "wide", *tree, empty.alias("q_ids"), empty.alias("q_points"))
+    lead = packed.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), F.lit(0).alias("wide"), *[empty.alias(c) for c in tree], "q_ids", "q_points")
     dealt = lead.unionByName(each).repartition(blocks, "block").sortWithinPartitions("block", "kind", "shard")
 
     def search(batches):
         now, state = None, None
 
         def flush():
-            q, rank = np.nonzero(state.scores > -np.inf)
-            got = pa.array(state.scores[q, rank].astype(np.int64))
+            q, rank = np.nonzero(state.scores > FREE)
+            got = pa.array(state.scores[q, rank])
             return pa.RecordBatch.from_arrays([pa.array(state.ids[q]), pa.array((rank + 1).astype(np.int32)), pa.array(state.found[q, rank]), got], ["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
             for r in range(batch.num_rows):
-                x = {c: batch.column(c)[r].as_py() for c in ("block", "kind", "dim", "wide")}
+                x = {c: batch.column(c)[r].as_py() for c in ("block", "kind", "wide")}
                 if x["kind"] == 0:
                     if state is not None:
                         yield flush()
                     now, ids = x["block"], np.frombuffer(batch.column("q_ids")[r].as_py(), np.int64)
-                    state = Search(ids, np.frombuffer(batch.column("q_points")[r].as_py(), np.int32).reshape(len(ids), -1), k)
+                    state = Search(ids, np.frombuffer(batch.column("q_points")[r].as_py(), np.int64).reshape(len(ids), dim), k)
                 elif state is not None and x["block"] == now:
                     ids, starts = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("ids", "starts"))
-                    points = np.frombuffer(batch.column("points")[r].as_py(), np.int32 if x["wide"] else np.int16).reshape(len(ids), x["dim"])
-                    first = starts[:-1]
-                    state.add(Tree(points, ids, starts, np.minimum.reduceat(points, first), np.maximum.reduceat(points, first), np.minimum.reduceat(ids, first)))
+                    points = np.frombuffer(batch.column("points")[r].as_py(), f"<i{x['wide']}").reshape(len(ids), dim)
+                    state.add(Tree(points, ids, starts, *np.frombuffer(batch.column("nodes")[r].as_py(), np.int32).reshape(2, -1)))
         if state is not None:
             yield flush()
 

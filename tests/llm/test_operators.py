@@ -382,6 +382,22 @@ def test_top_k_against_brute_force(spark):
     assert kdtree.top_k(df.limit(0), lambda x: x % 20 == 0).count() == 0
 
 
+def test_top_k_of_ragged_empty_and_large_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0]), (2, []), (3, [0.5, 0.5, 0.5]), (4, [-40_000.0, 7.0]), (20, [2.0**22, -1.0]), (40, [2.0**21 + 0.5, 3.0]), (60, []), (80, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] + [0] * (3 - len(v)) for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])]
+    assert sorted(tuple(r) for r in kdtree.top_k(df, lambda x: x % 20 == 0, 4).collect()) == sorted(want)
+    assert max(s for *_, s in want) > 2**53
+    blank = spark.createDataFrame([(0, []), (1, []), (2, [])], df.schema)
+    assert sorted(tuple(r) for r in kdtree.top_k(blank, lambda x: x == 0, 4).collect()) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    with pytest.raises(Exception, match="64 bits"):
+        kdtree.top_k(spark.createDataFrame([(0, [1e17]), (1, [1e17])], df.schema), lambda x: x == 0, 4).collect()
+
+
 def test_trees_leave_out_boxes():
     rng = np.random.default_rng(2)
     points = rng.integers(-60, 60, (4000, 2))
@@ -389,6 +405,10 @@ def test_trees_leave_out_boxes():
     s = kdtree.Search(np.arange(40), points[:40], 5)
     s.add(tree)
     assert s.visits < 0.3 * 40 * (len(tree.starts) - 1)
+    again = kdtree.Search(np.arange(40), points[:40], 5)
+    again.scores, again.found = s.scores.copy(), s.found.copy()
+    again.add(tree)  # with the kth scores known, whole subtrees are left out
+    assert again.opened < 0.5 * 40 * len(tree.left)
     for i in range(40):
         p = points @ points[i]
         order = [j for j in np.lexsort((np.arange(4000), -p)) if j != i][:5]

@@ -208,6 +208,10 @@ class Frame:
 
     def order_by(self, *keys: str | Expr, ascending: bool | list[bool] | None = None) -> Frame:
         """Sort; nulls come last in either direction unless a key says otherwise."""
+        cols = self._order(keys, ascending)
+        return self._then(f"Sort({', '.join(map(str, keys))})", data=self.data.orderBy(*cols))
+
+    def _order(self, keys: Iterable[str | Expr], ascending: bool | list[bool] | None) -> list[Column]:
         flags = [ascending] * len(keys) if isinstance(ascending, bool) else [*(ascending or []), *[True] * len(keys)]
         cols = []
         for k, up in zip(keys, flags, strict=False):
@@ -216,7 +220,7 @@ class Frame:
             down = (not up) if e.descending is None else e.descending
             first = e.nulls == "first"
             cols.append((c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last()))
-        return self._then(f"Sort({', '.join(map(str, keys))})", data=self.data.orderBy(*cols))
+        return cols
 
     sort = order_by
 
@@ -307,13 +311,7 @@ class Frame:
         dense_rank, or (lag or lead, expression[, steps]), or an aggregate over the partition."""
         out = self
         for name, (f, by, order, *up) in columns.items():
-            flags = up[0] if up and up[0] is not None else True
-            flags = [flags] * len(order) if isinstance(flags, bool) else flags
-            keys = []
-            for k, asc in zip(order, flags, strict=True):
-                c = self._column(k)
-                down = isinstance(k, Expr) and k.descending if isinstance(k, Expr) and k.descending is not None else not asc
-                keys.append(c.desc_nulls_last() if down else c.asc_nulls_last())
+            keys = self._order(order, up[0] if up else None)
             w = Window.partitionBy(*[self._column(k) for k in by])
             w = w.orderBy(*keys) if keys else w
             if isinstance(f, AggExpr):

@@ -191,8 +191,11 @@ class Hypergraph:
     def with_hyperedges(self, label: str, data: DataFrame, roles: Iterable[tuple[str, str, str]] = (), id: str | None = None, incidence: DataFrame | None = None) -> Hypergraph:
         """Add hyperedges. roles: (role, label of what it binds, column with the id), or an incidence table.
 
-        Without an id column the id is a hash of all columns; rows equal in all of them share it.
+        The id is the column named, else `_id` if there is one, else a hash of all columns; rows equal in all of them share it.
         """
+        id = id or ("_id" if "_id" in data.columns else None)
+        if id is None and incidence is not None:
+            raise ValueError("an incidence table needs hyperedges with an id column")
         key = F.col(f"`{id}`").cast("long") if id else F.xxhash64(*[F.col(f"`{c}`") for c in data.columns])
         rows = data.select(key.alias("_id"), *[F.col(f"`{c}`") for c in data.columns if c != "_id"])
         return replace(self, hyper_tables=(*self.hyper_tables, HyperTable(label, rows, tuple(Role(*r) for r in roles), incidence)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -67,29 +68,24 @@ def where_role(frame: HyperedgeFrame, role: str, value: Any) -> HyperedgeFrame:
         if not all(isinstance(i, int) and not isinstance(i, bool) for i in ids):
             raise TypeError("a role's value is an id, a list of ids or a frame of nodes")
         key, labels = None, None
-    root, out = frame.root, None
-    direct = None
-    for label, rows, column in _bound(frame, role):
-        if labels is not None and not any(label in t.labels and set(labels) & set(t.labels) for t in frame.graph.node_tables):
-            continue
+    root, data, tests = frame.root, frame.data, []
+    bound = [x for x in _bound(frame, role) if labels is None or any(x[0] in t.labels and set(labels) & set(t.labels) for t in frame.graph.node_tables)]
+    for i, (_, rows, column) in enumerate(bound):
         if rows is None and key is None:
-            test = F.col(f"`{column}`").isin(*ids)
-            direct = test if direct is None else direct | test
+            tests.append(F.col(f"`{column}`").isin(*ids))
             continue
+        # A semi-join where it is the only test; else a flag, so that equal rows stay as many as they are.
+        alone, flag = len(bound) == 1, f"__bound_{i}"
         if rows is None:
-            hit = frame.data.select(F.col(f"`{physical(root, '_id')}`").alias("h_edge"), F.col(f"`{physical(root, '_type')}`").alias("h_type"), F.col(f"`{column}`").alias("h_target"))
+            keys, meets = key.withColumnRenamed("__k", flag), F.col(f"`{column}`") == F.col(flag)
         else:
-            hit = rows.select("h_edge", "h_type", "h_target")
-        hit = hit.filter(F.col("h_target").isin(*ids)) if key is None else hit.join(key, F.col("h_target") == F.col("__k"), "left_semi")
-        hit = hit.select("h_edge", "h_type")
-        out = hit if out is None else out.unionByName(hit)
-    data = frame.data
-    if out is not None:
-        meets = (F.col(f"`{physical(root, '_id')}`") == F.col("h_edge")) & (F.col(f"`{physical(root, '_type')}`") == F.col("h_type"))
-        semi = data.join(out.distinct(), meets, "left_semi")
-        data = semi if direct is None else data.filter(direct).unionByName(semi).distinct()
-    else:
-        data = data.filter(direct if direct is not None else F.lit(False))
+            hit = rows.filter(F.col("h_target").isin(*ids)) if key is None else rows.join(key, F.col("h_target") == F.col("__k"), "left_semi")
+            keys = hit.select(F.col("h_edge").alias(flag), F.col("h_type").alias(f"{flag}_type")).distinct()
+            meets = (F.col(f"`{physical(root, '_id')}`") == F.col(flag)) & (F.col(f"`{physical(root, '_type')}`") == F.col(f"{flag}_type"))
+        data = data.join(keys, meets, "left_semi" if alone else "left")
+        tests.append(F.lit(True) if alone else F.col(flag).isNotNull())
+    test = reduce(lambda x, y: x | y, tests, F.lit(False))
+    data = data.filter(test).select(*[F.col(f"`{s.physical}`") for s in frame.slots])
     return replace(frame, data=data, plan=(*frame.plan, f"WhereRole({role})"))
 
 

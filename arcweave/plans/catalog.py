@@ -155,9 +155,19 @@ def wildcard_drop(g):
 # --- order, limits
 
 
-@query("select s, id from (select nullif(c_mktsegment, 'BUILDING') as s, c_custkey as id, row_number() over (order by nullif(c_mktsegment, 'BUILDING') desc nulls last, c_custkey) as n from customer) where n <= 1000")
+@query("select c_custkey as id, nullif(c_mktsegment, 'BUILDING') as s, row_number() over (order by nullif(c_mktsegment, 'BUILDING') desc nulls last, c_custkey) as n from customer")
 def sort_nulls(g):
-    return g.nodes("Customer").select(s=col("c_mktsegment").nullif("BUILDING"), id=col("id")).order_by(col("s").desc(), "id").limit(1000)
+    """The whole table in order, told by each row's place."""
+    rows = g.nodes("Customer").select(s=col("c_mktsegment").nullif("BUILDING"), id=col("id")).order_by(col("s").desc(), "id").to_df()
+    out = rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return g.spark.createDataFrame(out, "s string, id long, n long")
+
+
+@query("""select c_custkey as id, rank() over (partition by c_nationkey order by nullif(c_mktsegment, 'BUILDING') nulls first) as up,
+    rank() over (partition by c_nationkey order by nullif(c_mktsegment, 'BUILDING') desc nulls first) as down from customer""")
+def window_nulls_first(g):
+    c = g.nodes("Customer").with_column("s", col("c_mktsegment").nullif("BUILDING"))
+    return c.window(up=("rank", ["c_nationkey"], [col("s").asc().nulls_first()]), down=("rank", ["c_nationkey"], [col("s").desc().nulls_first()])).select("up", "down", id=col("id"))
 
 
 @query("select o_orderkey as id from orders order by o_orderkey limit 10 offset 25")
@@ -366,9 +376,9 @@ def expand_hops_range(g):
     return g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(0, 3), as_="b", path_properties=[]).select(a=col("Turn.id"), b=col("b.id"), n=fn.path_length(col("_path")))
 
 
-@query(f"{_REACH.format(100000)} select a, b, n from w where a % 1000000 = 0")
+@query(f"{_REACH.format(100000)} select a, b, n from w")
 def expand_unbounded(g):
-    return g.nodes("Turn").filter(col("turn") == 0).expand("NEXT_TURN", to="Turn", hops=(1, None), as_="b", path_properties=[]).select(a=col("Turn.id"), b=col("b.id"), n=fn.path_length(col("_path")))
+    return g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(1, None), as_="b", path_properties=[]).select(a=col("Turn.id"), b=col("b.id"), n=fn.path_length(col("_path")))
 
 
 @query("select cast(n_nationkey as bigint) as id, cast((select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) + 1 as bigint) as d from nation")
@@ -429,6 +439,18 @@ def where_role_frame(g):
     return g.hyperedges("LINE_ITEM").where_role("supplier", rich).agg(n=count(), quantity=sum_("l_quantity")).select(n=col("n"), quantity=col("quantity").cast("int"))
 
 
+@query("""select count(*) as n, count(distinct o) as orders from (select l_orderkey as o from lineitem where l_suppkey in (1, 3)
+    union all select o_orderkey from orders where o_custkey in (1, 3))""")
+def where_role_mixed(g):
+    """One role of two tables: a column of line items, rows of an incidence table of orders. Line items are there as often as they come."""
+    lines = g.hyper_tables[0].data.select(F.col("l_orderkey").alias("o"), "l_suppkey")
+    orders = g.edges("PLACED").select(e=col("_id"), c=col("_src")).to_df()
+    inc = orders.select(F.col("e").alias("edge_id"), F.lit(0).alias("ord"), F.lit("by").alias("role"), F.lit("node").alias("target_kind"), F.lit("Supplier").alias("target_label"), F.col("c").alias("target_id"))
+    both = Hypergraph(g.spark).with_nodes("Supplier", g.tables_of("Supplier")[0].data)
+    both = both.with_hyperedges("SALE", lines, [("by", "Supplier", "l_suppkey")]).with_hyperedges("SALE", orders.select(F.col("e").alias("_id"), F.col("e").alias("o")), incidence=inc)
+    return both.hyperedges("SALE").where_role("by", [1, 3]).agg(n=count(), orders=count_distinct("o"))
+
+
 @query("select s_suppkey as s, count(*) as n, max(l_linenumber) as top from supplier join lineitem on l_suppkey = s_suppkey group by 1")
 def materialize_hyperedge(g):
     return g.nodes("Supplier").hyperedges_of("LINE_ITEM", "supplier").group_by(s=col("Supplier.id")).agg(n=count(), top=max_("l_linenumber"))
@@ -473,15 +495,15 @@ def scalar_subquery(g):
 # --- paths
 
 
-@query(f"{_REACH.format(100000)} select a, b, min(n) as length, count(*) as paths from w where a % 1000000 = 0 and b % 1000000 = 2 group by a, b")
+@query(f"{_REACH.format(100000)} select a, b, min(n) as length, count(*) as paths from w group by a, b")
 def shortest(g):
-    found = shortest_path(g.nodes("Turn").filter(col("turn") == 0), g.nodes("Turn").filter(col("turn") == 2), "NEXT_TURN", direction="out", path_properties=[])
+    found = shortest_path(g.nodes("Turn"), g.nodes("Turn"), "NEXT_TURN", direction="out", path_properties=[])
     return found.group_by(a=col("start.id"), b=col("end.id")).agg(length=min_("length"), paths=count())
 
 
-@query(f"{_REACH.format(4)} select a, b, n as length from w where a % 1000000 = 1 and n >= 2")
+@query(f"{_REACH.format(4)} select a, b, n as length from w where n >= 2")
 def paths_between(g):
-    found = all_paths(g.nodes("Turn").filter(col("turn") == 1), g.nodes("Turn"), "NEXT_TURN", min_hops=2, max_hops=4, direction="out", path_properties=[])
+    found = all_paths(g.nodes("Turn"), g.nodes("Turn"), "NEXT_TURN", min_hops=2, max_hops=4, direction="out", path_properties=[])
     return found.select(a=col("start.id"), b=col("end.id"), length=col("length"))
 
 
@@ -498,6 +520,52 @@ def pattern_match(g):
     return g.match(p).select(c=col("start.id"), region=col("r_name"))
 
 
+# --- shapes of queries
+
+
+@query("select c_custkey as c, s_suppkey as s from customer join supplier on c_nationkey = s_nationkey")
+def cycle_by_nation(g):
+    """Two ways to one node: customers and suppliers that meet in a nation, and back."""
+    there = g.nodes("Customer").expand("IN_NATION", to="Nation", as_="n").expand("IN_NATION", direction="in", to="Supplier", as_="s")
+    return there.expand("IN_NATION", to="Nation", from_="s", as_="m").filter(col("m.id") == col("n.id")).select(c=col("Customer.id"), s=col("s.id"))
+
+
+@query("select type, count(*) as n, count(distinct src) as starts from (select 'IN_NATION' as type, s_suppkey as src from supplier union all select distinct 'SUPPLIES', l_suppkey, l_partkey from lineitem) group by 1".replace("select distinct 'SUPPLIES', l_suppkey, l_partkey from lineitem", "select 'SUPPLIES', l_suppkey from (select distinct l_suppkey, l_partkey from lineitem)"))
+def group_on_type(g):
+    return g.nodes("Supplier").expand(["IN_NATION", "SUPPLIES"], edge_as="e").group_by(type=fn.type_(col("e"))).agg(n=count(), starts=count_distinct(col("Supplier.id")))
+
+
+@query("""select n_name as nation, count(*) as suppliers from (select c_nationkey k from customer group by 1 order by count(*) desc, c_nationkey limit 3) join nation on n_nationkey = k
+    join supplier on s_nationkey = k group by 1""")
+def aggregate_then_match(g):
+    top = g.nodes("Customer").group_by(k=col("c_nationkey")).agg(n=count()).order_by("n", "k", ascending=[False, True]).limit(3)
+    nations = g.nodes("Nation").filter(fn.exists(top, on=("Nation.n_nationkey", "k")))
+    return nations.expand("IN_NATION", direction="in", to="Supplier", as_="s").group_by(nation=col("n_name")).agg(suppliers=count())
+
+
+@query(f"{_REACH.format(3)} select x.a as a, y.b as b, x.n as first, y.n as second from w x join w y on x.b = y.a")
+def two_variable_segments(g):
+    one = g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(1, 3), as_="m", path_properties=[]).select(a=col("Turn.id"), m=col("m.id"), first=fn.path_length(col("_path")))
+    two = g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(1, 3), as_="b", path_properties=[]).select(m=col("Turn.id"), b=col("b.id"), second=fn.path_length(col("_path")))
+    return one.to_df().join(two.to_df(), "m").select("a", "b", "first", "second")
+
+
+@query(f"{_REACH.format(100000)} select a, max(n) as longest from w group by a")
+def longest_path(g):
+    walks = g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(1, None), as_="b", path_properties=[])
+    return walks.group_by(a=col("Turn.id")).agg(longest=max_(fn.path_length(col("_path"))))
+
+
+@query("select n_name as name from nation order by length(n_name) desc, n_name limit 5")
+def sort_by_expression(g):
+    return g.nodes("Nation").order_by(col("n_name").length().desc(), "n_name").limit(5).select(name=col("n_name"))
+
+
+@query("select cast(r_regionkey as bigint) as id, 2 as n from region")
+def count_of_properties(g):
+    return g.nodes("Region").select(id=col("id"), n=fn.properties(col("Region")).keys().size().cast("int"))
+
+
 # --- inference
 
 

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..graph import Hypergraph
 
 
+#: Schemas of tables by application and path, the last ones: they are inferred once; files are listed by each query.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        while len(_SCHEMAS) >= 100:
+            _SCHEMAS.pop(next(iter(_SCHEMAS)))
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def read_any(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None, **options) -> DataFrame:
@@ -19,18 +30,9 @@ def read_any(spark: SparkSession, path: str, format: str = "parquet", schema: st
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-#: Graphs of folders by application, the last few: schemas are inferred once, rows are read by each query.
-_STARS: dict[tuple[str, str], Hypergraph] = {}
-
-
 def star(spark: SparkSession, folder: str) -> Hypergraph:
     """The hypergraph of a folder of tables; see build_star."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _STARS:
-        while len(_STARS) >= 4:
-            _STARS.pop(next(iter(_STARS)))
-        _STARS[key] = build_star(spark, folder)
-    return _STARS[key]
+    return build_star(spark, folder)
 
 
 def build_star(spark: SparkSession, folder: str) -> Hypergraph:

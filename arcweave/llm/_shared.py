@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, shared_dir, shuffles_cleaned, stash, unstash
 
-__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "sample_ids", "shared_dir", "shuffles_cleaned", "stash", "table", "texts_of", "trim", "unstash", "words"]
+__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "release", "sample_ids", "shared_dir", "shuffles_cleaned", "stash", "table", "texts_of", "trim", "unstash", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -39,6 +40,13 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """On the driver: let go of the plans and results of queries that have ended, and of the memory that they took."""
+    gc.collect()
+    trim()
+    spark._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches of this session hold at most so many bytes: rows alone don't bound them where texts are long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

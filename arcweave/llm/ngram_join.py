@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, forget, shuffles_cleaned, stash, unstash, words
+from ._shared import bound_batches, forget, release, shuffles_cleaned, stash, unstash, words
 from .bitmap import bitmap, bits_for, filtered, place, within
 from .components import components
 
@@ -115,7 +115,10 @@ def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
         found = parts.collect()  # PIECES rows of a bounded size
     for k, blob in found:
         out[k * part : (k + 1) * part] = unpacked(blob)
-    return out - np.minimum(out, np.uint32(np.median(out)))
+    usual = np.uint32(np.median(out))
+    for at in range(0, size, part):  # in place: the driver holds one copy
+        out[at : at + part] -= np.minimum(out[at : at + part], usual)
+    return out
 
 
 def _close(ham: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -324,6 +327,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "sig", "prefix", "ell", "sketch"])
 
     known = stash(docs.mapInArrow(prepare, "id long, n long, sig binary, prefix array<long>, ell int, sketch binary"), "sets")
+    sent.destroy()
+    release(spark)
     firsts = known.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"))
     own = known.filter("sig is not null").join(firsts.select("sig", "id"), ["sig", "id"]).dropDuplicates(["sig", "id"])
     own = stash(own.select("id", "n", "ell", "sketch", "prefix"), "own")
@@ -338,6 +343,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     tokens = filtered(own.select("id", F.explode("prefix").alias("token")), common, bits, ["token"])
     lists = stash(tokens.join(shared, "token").select("token", "id", "list"), "lists")
     marks = stash(own.select("id", "n", "ell", "sketch"), "marks")
+    common.destroy()
     for df in (own, shared):
         unstash(df)
 
@@ -368,10 +374,12 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         if links[-1].isEmpty():
             break
         comps = components(reduce(DataFrame.unionByName, links))
+    release(spark)
     more = across(rest, placed(), num, den).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need")
     links.append(stash(verified(more.select("a", "b"), texts, n, num, den), "links"))
     for df in (lists, marks, first, texts):
         unstash(df)
+    having.destroy()
     final = components(reduce(DataFrame.unionByName, links)).select(F.col("id").alias("first"), F.col("comp"))
     groups = stash(firsts.withColumnRenamed("id", "first").join(final, "first", "left").select("sig", "c", F.coalesce("comp", "first").alias("comp")), "groups")
     for df in links:

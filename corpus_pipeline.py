@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm import toxicity
-from arcweave.llm._shared import stash, table
+from arcweave.llm._shared import release, stash, table
 from arcweave.llm.line_dedup import line_dedup
 from arcweave.llm.ngram_join import ngram_join
 from arcweave.llm.queries import MODEL, SHARES, TOXIC
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored as empty ones, long ones whole; null and repeated ids stay or go by their texts. Without
     confirmed labels nothing is rejected; an empty table gives an empty result.
     """
+    release(spark)
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
@@ -29,6 +30,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A document that is nothing but such copies goes; one that loses some lines keeps the rest, with
     n_chars counted anew. Documents that lose nothing are as they were, empty ones too.
     """
+    release(spark)
     out = line_dedup(docs, min_words=50)
     cut = F.col("__n_removed") > 0
     out = out.filter(~cut | (F.trim("text") != ""))
@@ -43,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents with a null id are in no group and stay. Rows that repeat an id and text stay or go
     together; an id that comes with several texts is treated text by text, by keys in the order of ids and hashes of texts.
     """
+    release(spark)
     rows = docs.withColumns({"__hash": F.xxhash64("text"), "__key": F.col("doc_id")})
     texts = rows.filter("doc_id is not null").select("doc_id", "__hash")
     if texts.groupBy("doc_id").agg((F.min("__hash") < F.max("__hash")).alias("several")).filter("several").limit(1).count():

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def trim() -> None:
     """Give memory that is free back to the machine, where its C library can."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def release(spark: SparkSession) -> None:

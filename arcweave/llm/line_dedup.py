@@ -48,6 +48,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 line = np.concatenate([np.arange(n) for n in size]).astype(np.int32)
                 flat = [pa.array(np.concatenate(x).astype(np.int32)) for x in (ahead, behind)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(line), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *flat], ["id", "u", "line", "hi", "lo", "ahead", "behind"])
+        forget()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, u long, line int, hi long, lo long, ahead int, behind int")

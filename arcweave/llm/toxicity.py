@@ -177,6 +177,7 @@ def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "tex
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
                 yield part.filter(pa.array(scores(part.column(at).to_pylist()) < threshold))
+        forget()
 
     return docs.mapInArrow(run, docs.schema)
 

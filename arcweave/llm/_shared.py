@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, shared_dir, shuffles_cleaned, stash, unstash
 
-__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "release", "sample_ids", "shared_dir", "shuffles_cleaned", "stash", "table", "texts_of", "trim", "unstash", "words"]
+__all__ = ["UPPER", "ascii_lower", "bound_batches", "forget", "kept", "new_path", "release", "release_executors", "sample_ids", "shared_dir", "shuffles_cleaned", "stash", "table", "texts_of", "trim", "unstash", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,6 +49,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def release_executors(spark: SparkSession) -> None:
+    """On executors: collect garbage, after which a heap shrinks to what lives. A task for each core, so every executor
+    that is free gets one or more; one that gets none stays as it is. The driver has release()."""
+    if not spark.sparkContext.master.startswith("local["):
+        cores = spark.sparkContext.defaultParallelism
+        spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches of this session hold at most so many bytes: rows alone don't bound them where texts are long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

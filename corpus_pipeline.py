@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm import toxicity
-from arcweave.llm._shared import release, stash, table
+from arcweave.llm._shared import release, release_executors, stash, table
 from arcweave.llm.line_dedup import line_dedup
 from arcweave.llm.ngram_join import ngram_join
 from arcweave.llm.queries import MODEL, SHARES, TOXIC
@@ -14,13 +14,19 @@ from arcweave.llm.source_mix import mix_sources, mixed, row_tie
 from arcweave.llm.sp_codec import encode_documents
 
 
+def _begin(spark: SparkSession) -> None:
+    """Memory that earlier stages took goes back first, so that stages of one session don't add up."""
+    release(spark)
+    release_executors(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier doesn't find toxic; it learns from the confirmed ones in `labels`.
 
     Null and empty texts are scored as empty ones, long ones whole; null and repeated ids stay or go by their texts. Without
     confirmed labels nothing is rejected; an empty table gives an empty result.
     """
-    release(spark)
+    _begin(spark)
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
@@ -30,7 +36,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A document that is nothing but such copies goes; one that loses some lines keeps the rest, with
     n_chars counted anew. Documents that lose nothing are as they were, empty ones too.
     """
-    release(spark)
+    _begin(spark)
     out = line_dedup(docs, min_words=50)
     cut = F.col("__n_removed") > 0
     out = out.filter(~cut | (F.trim("text") != ""))
@@ -45,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents with a null id are in no group and stay. Rows that repeat an id and text stay or go
     together; an id that comes with several texts is treated text by text, by keys in the order of ids and hashes of texts.
     """
-    release(spark)
+    _begin(spark)
     rows = docs.withColumns({"__hash": F.xxhash64("text"), "__key": F.col("doc_id")})
     texts = rows.filter("doc_id is not null").select("doc_id", "__hash")
     if texts.groupBy("doc_id").agg((F.min("__hash") < F.max("__hash")).alias("several")).filter("several").limit(1).count():
@@ -63,6 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Spark may read several files in another order; the last stage's pos has the mixture's. Null sources, and those
     without a weight, form a stream of their own; null ids and texts, and repeated rows, stay. Empty in, empty out.
     """
+    _begin(spark)
     return mixed(docs, SHARES)
 
 
@@ -73,6 +80,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts, are dealt out for that, after they were written. A null text has no ids; a null id or source, repeated rows and
     long texts are treated as any; an empty table gives an empty result.
     """
+    _begin(spark)
     coded = encode_documents(docs.withColumn("__tie", row_tie(docs)), MODEL, keep={"source": "__source", "__tie": "__tie"})
     placed = mix_sources(stash(coded, "coded"), SHARES, source_col="__source", tie_col="__tie")
     return placed.select("doc_id", "n_ids", "ids", "round_trip", F.col("__pos").alias("pos"))

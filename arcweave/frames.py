@@ -502,6 +502,12 @@ class HyperedgeFrame(Frame):
 
         return follow_role(self, role, as_, to_where)
 
+    def expand_hyperedge(self, role: str, as_: str | None = None) -> HyperedgeFrame:
+        """The hyperedges bound in a role, next to the one that binds them; roles are then followed from them."""
+        from .operators.hyper import follow_meta
+
+        return follow_meta(self, role, as_)
+
     def roles(self) -> list[str]:
         """Names of the roles, in order."""
         names: set[str] = set()

@@ -41,14 +41,14 @@ def _tables(frame: HyperedgeFrame) -> list[HyperTable]:
     return [t for t in frame.graph.hyper_tables if t.label in frame.labels[frame.root]]
 
 
-def _bound(frame: HyperedgeFrame, role: str) -> list[tuple[str, DataFrame | None, str]]:
+def _bound(frame: HyperedgeFrame, role: str, kind: str = "node") -> list[tuple[str, DataFrame | None, str]]:
     """(label of what's bound, None or an incidence's rows (h_edge, h_target), column) for each binding with a role."""
     out = []
     for t in _tables(frame):
         if t.incidence is None:
-            out += [(r.target, None, physical(frame.root, f"_bound_{r.column}")) for r in t.roles if r.name == role and r.kind == "node"]
+            out += [(r.target, None, physical(frame.root, f"_bound_{r.column}")) for r in t.roles if r.name == role and r.kind == kind]
         else:
-            rows = t.incidence.filter((F.col("role") == role) & (F.col("target_kind") == "node"))
+            rows = t.incidence.filter((F.col("role") == role) & (F.col("target_kind") == kind))
             for label in sorted(r[0] for r in rows.select("target_label").distinct().collect()):
                 mine = rows.filter(F.col("target_label") == label)
                 out.append((label, mine.select(F.col("edge_id").alias("h_edge"), F.col("target_id").alias("h_target"), F.lit(t.label).alias("h_type")), ""))
@@ -89,23 +89,46 @@ def where_role(frame: HyperedgeFrame, role: str, value: Any) -> HyperedgeFrame:
     return replace(frame, data=data, plan=(*frame.plan, f"WhereRole({role})"))
 
 
+def _beside(frame: HyperedgeFrame, rows: DataFrame | None, column: str, right: DataFrame, alias: str) -> DataFrame:
+    """The frame's rows joined to what a binding, a column or rows of an incidence, names among `right`."""
+    to = F.col(f"`{physical(alias, '_id')}`")
+    if rows is None:
+        return frame.data.join(right, F.col(f"`{column}`") == to)
+    here = (F.col(f"`{physical(frame.root, '_id')}`") == F.col("h_edge")) & (F.col(f"`{physical(frame.root, '_type')}`") == F.col("h_type"))
+    return frame.data.join(rows, here).join(right, F.col("h_target") == to).drop("h_edge", "h_target", "h_type")
+
+
+def follow_meta(frame: HyperedgeFrame, role: str, as_: str | None) -> HyperedgeFrame:
+    """Join the hyperedges bound in the role; what follows starts from them."""
+    alias = fresh(frame.kinds, as_ or role)
+    if as_ and alias != as_:
+        raise ValueError(f"the alias {as_!r} is taken")
+    out, slots, labels = None, [], []
+    for label, rows, column in _bound(frame, role, "hyperedge"):
+        tables = [t for t in frame.graph.hyper_tables if t.label == label]
+        if not tables:
+            raise ValueError(f"no hyperedges labelled {label!r}; there are {frame.graph.hyperedge_labels()}")
+        right, s = headers(tables, alias)
+        part = _beside(frame, rows, column, right, alias)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        slots += [x for x in s if x not in slots]
+        labels.append(label)
+    keep = (*frame.slots, *slots)
+    return replace(frame, data=out.select(*[F.col(f"`{s.physical}`") for s in keep]), slots=keep, kinds=frame.kinds | {alias: "hyperedge"}, labels=frame.labels | {alias: tuple(dict.fromkeys(labels))}, root=alias, plan=(*frame.plan, f"ExpandMeta({role} AS {alias})"))
+
+
 def follow_role(frame: HyperedgeFrame, role: str, as_: str | None, where: Expr | None) -> HyperedgeFrame:
     """Join the nodes bound in the role; a hyperedge that binds several has a row for each."""
     alias = fresh(frame.kinds, as_ or role)
     if as_ and alias != as_:
         raise ValueError(f"the alias {as_!r} is taken")
-    root, out, slots, labels = frame.root, None, [], []
+    out, slots, labels = None, [], []
     for label, rows, column in _bound(frame, role):
         for t in frame.graph.tables_of(label):
             right, s = node_columns(t.data, alias, t.labels)
             if where is not None:
                 right = right.filter(where.build(Scope(right, tuple(replace(x, alias=None) for x in s))))
-            to = F.col(f"`{physical(alias, '_id')}`")
-            if rows is None:
-                part = frame.data.join(right, F.col(f"`{column}`") == to)
-            else:
-                here = (F.col(f"`{physical(root, '_id')}`") == F.col("h_edge")) & (F.col(f"`{physical(root, '_type')}`") == F.col("h_type"))
-                part = frame.data.join(rows, here).join(right, F.col("h_target") == to).drop("h_edge", "h_target", "h_type")
+            part = _beside(frame, rows, column, right, alias)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
             slots += [x for x in s if x not in slots]
             labels.append(label)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import EdgeTable, Hypergraph
-from ..sources.scratch import stash, unstash
+from ..sources.scratch import stash, together, unstash
 
 Atom = tuple[str, str, str]
 MOST_ROUNDS = 10_000
@@ -76,7 +76,9 @@ def derive(graph: Hypergraph, rules: Iterable[Rule], mode: str = "fixpoint", rou
         raise ValueError(f"no edges of type {sorted(missing)}")
     empty = graph.spark.createDataFrame([], "sl string, s bigint, dl string, d bigint")
     names = {a[0] for r in rules for a in (r.head, *r.body)}
-    known = {n: stash(facts(graph, n) if n in graph.edge_types() else empty, "facts") for n in names}
+    # Rounds are only added to what is known; nothing is written twice.
+    parts = {n: [stash(facts(graph, n) if n in graph.edge_types() else empty, "facts")] for n in names}
+    known = {n: p[0] for n, p in parts.items()}
     new, derived = dict(known), {h: empty for h in heads}
     for k in range(limit):
         fresh: dict[str, DataFrame] = {}
@@ -98,8 +100,8 @@ def derive(graph: Hypergraph, rules: Iterable[Rule], mode: str = "fixpoint", rou
         if not found:
             return derived
         for h, more in found.items():
-            known[h] = stash(known[h].unionByName(more), "facts")
-            derived[h] = derived[h].unionByName(more)
+            parts[h].append(more)
+            known[h], derived[h] = together(parts[h]), together(parts[h][1:])
         new = found
     if mode == "fixpoint":
         raise RuntimeError(f"no fixpoint within {MOST_ROUNDS} rounds")

@@ -13,7 +13,7 @@ from ..expr import Expr
 from ..frames import Frame, NodeFrame, PathFrame, fresh, nodes_as
 from ..graph import Hypergraph
 from ..scope import Slot, physical
-from ..sources.scratch import stash, unstash
+from ..sources.scratch import stash, together, unstash
 from .traverse import _target_nodes, edge_types, hops, steps
 
 #: Hops that become one plan of joins; longer walks write each round to the shared folder.
@@ -150,7 +150,7 @@ def shortest_path(start: Frame, end: Frame, edge_type: str | Iterable[str] | Non
     """All paths of the least length from each start to each end node that it reaches; a node is no path to itself.
 
     Breadth first: a round takes each start's frontier one step on, without the nodes that it reached in an earlier
-    round. Rounds are written to the shared folder and end with an empty frontier or max_hops.
+    round. Rounds are written to the shared folder, of which later ones read the ends alone, and end with an empty frontier or max_hops.
     """
     graph = start.graph
     step, nodes, names = adjacency(graph, edge_types(edge or edge_type), direction, None, None, path_properties)
@@ -158,8 +158,10 @@ def shortest_path(start: Frame, end: Frame, edge_type: str | Iterable[str] | Non
     ends, _ = _ids(end)
     goal = ends.select(F.col("i").alias("n"), F.col("il").alias("nl"))
     level = _begin(starts.select(F.col("i").alias("b"), F.col("il").alias("bl")), nodes, names)
-    seen, out, k = level.select("b", "bl", "n", "nl"), None, 0
+    level, out, k = stash(level, "path"), None, 0
+    levels = [level]
     while max_hops is None or k < max_hops:
+        seen = together(levels).select("b", "bl", "n", "nl")
         level = stash(_next(level, step, trail=False).join(seen, ["b", "bl", "n", "nl"], "left_anti"), "path")
         k += 1
         if level.isEmpty():
@@ -167,8 +169,8 @@ def shortest_path(start: Frame, end: Frame, edge_type: str | Iterable[str] | Non
             break
         hit = level.join(goal, ["n", "nl"], "left_semi").select("b", "bl", "n", "nl", "nodes", "edges")
         out = hit if out is None else out.unionByName(hit)
-        seen = stash(seen.unionByName(level.select("b", "bl", "n", "nl").distinct()), "seen")
-    out = level.limit(0).select("b", "bl", "n", "nl", "nodes", "edges") if out is None else out
+        levels.append(level)
+    out = levels[0].limit(0).select("b", "bl", "n", "nl", "nodes", "edges") if out is None else out
     return _framed(graph, start, end, out, f"ShortestPath({direction}, max {max_hops})")
 
 

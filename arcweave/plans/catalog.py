@@ -127,6 +127,29 @@ def filter_distinct_from(g):
     return g.nodes("Customer").filter(col("c_mktsegment").nullif("BUILDING").is_distinct_from("MACHINERY")).select(id=col("id"))
 
 
+@query("select c_custkey as id from customer where nullif(c_mktsegment, 'BUILDING') is not null and c_acctbal is not null")
+def filter_not_null(g):
+    return g.nodes("Customer").filter(col("c_mktsegment").nullif("BUILDING").is_not_null() & col("c_acctbal").is_not_null()).select(id=col("id"))
+
+
+@query("""select c_custkey as id, (s = 'MACHINERY') is true as t, (s = 'MACHINERY') is false as f, (s = 'MACHINERY') is null as u, s is not distinct from 'MACHINERY' as same
+    from (select *, nullif(c_mktsegment, 'BUILDING') as s from customer)""")
+def filter_truth(g):
+    s = col("c_mktsegment").nullif("BUILDING")
+    is_it = s == "MACHINERY"
+    return g.nodes("Customer").select(id=col("id"), t=is_it.is_true(), f=is_it.is_false(), u=is_it.is_unknown(), same=s.is_not_distinct_from("MACHINERY"))
+
+
+@query("select p_partkey as id from part where p_size > 20 and p_brand = 'Brand#1'")
+def filter_param(g):
+    return g.nodes("Part").bind(least=20, brand="Brand#1").filter((col("p_size") > fn.param("least")) & (col("p_brand") == fn.param("brand"))).select(id=col("id"))
+
+
+@query("select n_name as name from nation where false")
+def empty_rows(g):
+    return g.nodes("Nation").filter(lit(False)).select(name=col("n_name"))
+
+
 # --- projections
 
 
@@ -185,6 +208,11 @@ def tail_rows(g):
     return g.nodes("Part").tail(7, "p_size", "id").select(id=col("id"))
 
 
+@query("select n_name as name from nation limit 0")
+def limit_zero(g):
+    return g.nodes("Nation").select(name=col("n_name")).limit(0)
+
+
 # --- sets
 
 
@@ -301,6 +329,39 @@ def group_first_row(g):
     return g.nodes("Customer").select("c_nationkey", "c_acctbal", id=col("id")).group_by("c_nationkey").first("c_acctbal", "id").select(n=col("c_nationkey"), id=col("id"))
 
 
+@query("select c_nationkey as n, c_custkey as id from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey desc) r from customer) where r = 1")
+def group_last_row(g):
+    return g.nodes("Customer").select("c_nationkey", "c_acctbal", id=col("id")).group_by("c_nationkey").last("c_acctbal", "id").select(n=col("c_nationkey"), id=col("id"))
+
+
+@query("select c_mktsegment as seg, count(*) as n from customer group by 1")
+def group_count(g):
+    return g.nodes("Customer").group_by(seg=col("c_mktsegment")).count("n")
+
+
+@query("select n_nationkey * 2 as double, n_regionkey + 1 as more, n_name as name from nation")
+def with_columns(g):
+    return g.nodes("Nation").with_columns(double=col("n_nationkey") * 2, more=col("n_regionkey") + 1).select("double", "more", name=col("n_name"))
+
+
+@query("select distinct c_mktsegment as seg, c_nationkey as n from customer")
+def unique_by(g):
+    return g.nodes("Customer").unique("c_mktsegment", "c_nationkey").select(seg=col("c_mktsegment"), n=col("c_nationkey"))
+
+
+@query("select c_nationkey as n, round(sqrt(sum(c_acctbal * c_acctbal)), 2) as norm from customer group by 1")
+def udaf_norm(g):
+    """A registered aggregate of Spark functions."""
+    fn.register_udf("euclid", lambda x: F.sqrt(F.sum(x * x)))
+    return g.nodes("Customer").group_by(n=col("c_nationkey")).agg(norm=fn.udaf("euclid", col("c_acctbal"))).with_column("norm", fn.round_(col("norm"), 2))
+
+
+@query("select p_partkey as id, p_size * 3 as v from part")
+def udf_call(g):
+    fn.register_udf("thrice", lambda x: x * 3)
+    return g.nodes("Part").select(id=col("id"), v=fn.udf("thrice", col("p_size")))
+
+
 @query("""select o_orderkey as id, rank() over (partition by o_custkey order by o_orderdate) as r, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev,
     count(*) over (partition by o_custkey) as n from orders""")
 def window_ranks(g):
@@ -466,6 +527,31 @@ def incidence(g):
     return g.hyper_tables[0].bindings().groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""select c_mktsegment as seg, count(*) as n, count(distinct o_orderkey) as sales from lineitem join orders on l_orderkey = o_orderkey
+    join customer on o_custkey = c_custkey group by 1""")
+def meta_edge(g):
+    """Line items bind orders, which are hyperedges that bind customers."""
+    sales = g.with_hyperedges("SALE", g.tables_of("Order")[0].data.drop("_id"), [("customer", "Customer", "o_custkey")], id="o_orderkey")
+    sales = sales.with_hyperedges("SHIPMENT", g.hyper_tables[0].data.drop("_id"), [("sale", "SALE", "l_orderkey", "hyperedge"), ("part", "Part", "l_partkey")])
+    rows = sales.hyperedges("SHIPMENT").expand_hyperedge("sale", as_="s").expand("customer", as_="c")
+    return rows.group_by(seg=col("c.c_mktsegment")).agg(n=count(), sales=count_distinct(col("s._id")))
+
+
+@query("""select c_mktsegment as seg, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1""")
+def meta_edge_incidence(g):
+    """As meta_edge, with the bindings as rows."""
+    lines = g.hyper_tables[0].data
+    inc = lines.select(F.col("_id").alias("edge_id"), F.lit(0).alias("ord"), F.lit("sale").alias("role"), F.lit("hyperedge").alias("target_kind"), F.lit("SALE").alias("target_label"), F.col("l_orderkey").alias("target_id"))
+    sales = g.with_hyperedges("SALE", g.tables_of("Order")[0].data.drop("_id"), [("customer", "Customer", "o_custkey")], id="o_orderkey")
+    rows = sales.with_hyperedges("SHIPMENT", lines.select("_id"), incidence=inc).hyperedges("SHIPMENT").expand_hyperedge("sale", as_="s")
+    return rows.expand("customer", as_="c").group_by(seg=col("c.c_mktsegment")).agg(n=count())
+
+
+@query("select role from (values ('order'), ('part'), ('supplier')) r(role)")
+def role_names(g):
+    return g.spark.createDataFrame([(r,) for r in g.hyperedges("LINE_ITEM").roles()], "role string")
+
+
 # --- subqueries
 
 
@@ -514,6 +600,30 @@ def path_predicate(g):
     return rows.filter(fn.all_(fn.nodes(col("_path")), fn.call("LENGTH", F.length, col("text")) > 20)).select(a=col("Turn.id"), b=col("b.id"))
 
 
+@query(f"{_REACH.format(3)} select a as start, b as finish, n as steps, a as head, b as tail, n >= 2 as long, a % 1000000 <> 0 as none_first from w")
+def path_functions(g):
+    p = col("_path")
+    rows = g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(1, 3), as_="b", path_properties=[])
+    first = fn.call("IS_FIRST", lambda x: x % 1_000_000 == 0, col("_id"))
+    return rows.select(
+        start=col("Turn.id"), finish=col("b.id"), steps=fn.relationships(p).size().cast("int"), head=fn.start_node(p), tail=fn.end_node(p),
+        long=fn.nodes(p).size() > 2, none_first=fn.none_(fn.nodes(p), first),
+    )
+
+
+@query(f"{_REACH.format(3)} select a, b from w where a % 1000000 = 0")
+def path_any(g):
+    first = fn.call("IS_FIRST", lambda x: x % 1_000_000 == 0, col("_id"))
+    rows = g.nodes("Turn").expand("NEXT_TURN", to="Turn", hops=(1, 3), as_="b", path_properties=[])
+    return rows.filter(fn.any_(fn.nodes(col("_path")), first)).select(a=col("Turn.id"), b=col("b.id"))
+
+
+@query("select o_custkey as a, o_orderkey as b, 'PLACED' as t from orders")
+def edge_ends(g):
+    e = g.edges("PLACED", alias="e")
+    return e.select(a=fn.start_node(col("e")), b=fn.end_node(col("e")), t=fn.type_(col("e")))
+
+
 @query("""select c_custkey as c, r_name as region from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def pattern_match(g):
     p = Pattern().start("Customer").via("IN_NATION", to="Nation").via("IN_REGION").end("Region")
@@ -566,6 +676,17 @@ def count_of_properties(g):
     return g.nodes("Region").select(id=col("id"), n=fn.properties(col("Region")).keys().size().cast("int"))
 
 
+@query("select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey where a.p_size = b.p_size or a.p_retailprice = b.p_retailprice")
+def any_shared_value(g):
+    """Pairs of one brand of which any other property is the same."""
+    part = g.tables_of("Part")[0].data
+    brands = part.select(F.xxhash64("p_brand").alias("_id"), "p_brand").distinct()
+    h = Hypergraph(g.spark).with_nodes("Part", part).with_nodes("Brand", brands).with_edges("OF", part.withColumn("brand", F.xxhash64("p_brand")), ("Part", "p_partkey"), ("Brand", "brand"), id="p_partkey", properties=[])
+    pairs = h.nodes("Part", alias="a").expand("OF", to="Brand", as_="x").expand("OF", direction="in", to="Part", as_="b").filter(col("a.id") < col("b.id"))
+    same = fn.array(col("a.p_size") == col("b.p_size"), col("a.p_retailprice") == col("b.p_retailprice"))
+    return pairs.filter(fn.any_(same)).select(a=col("a.id"), b=col("b.id"))
+
+
 # --- inference
 
 

@@ -46,6 +46,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Stashed tables of one schema as one scan, so the plan stays as short however many there are."""
+    out = parts[0].sparkSession.read.schema(parts[0].schema)
+    return out.parquet(*[p._stash_path for p in parts])
+
+
 def unstash(df: DataFrame) -> None:
     """Remove the files of a stashed table that nothing reads any more."""
     path = getattr(df, "_stash_path", None)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,24 @@ def _begin(spark: SparkSession) -> None:
     release_executors(spark)
 
 
+#: Columns that stages know.
+KNOWN = ("doc_id", "text", "source", "n_chars")
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """The stage with other columns under names of our own while it runs, so that none meets a name that it uses."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ours = {c: f"__other_{i}" for i, c in enumerate(docs.columns) if c not in KNOWN}
+        theirs = {n: c for c, n in ours.items()}
+        out = stage(spark, docs.toDF(*[ours.get(c, c) for c in docs.columns]), sf_dir)
+        return out.toDF(*[theirs.get(c, c) for c in out.columns])
+
+    return run
+
+
+@_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier doesn't find toxic; it learns from the confirmed ones in `labels`.
 
@@ -30,6 +51,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
+@_apart
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of lines of 50 words or more.
 
@@ -45,6 +67,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.select(*docs.columns)
 
 
+@_apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each group that links of 0.8 on 5-word shingles make: the one with the smallest id.
 
@@ -63,6 +86,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
+@_apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: by files and rows, blocks of sources follow their target weights.
 
@@ -73,6 +97,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs, SHARES)
 
 
+@_apart
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, round_trip and pos of every document: by pos, the documents are the mixture.
 

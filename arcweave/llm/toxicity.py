@@ -131,21 +131,24 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     """Fit on at most max_positive confirmed toxic texts and max_unlabelled others, by the order of a hash of the id.
 
     train: a condition on id_col that rows to learn from meet. The class prior is the share of
-    positives among the labels met, between 0.001 and 0.5. With no positive the model is the
-    constant 0.001. Texts of the sample go to the driver; the two bounds hold at any size.
+    positives among the labels met, between 0.001 and 0.5. With no positive, or no text of one, the model is
+    the constant 0.001. Texts of the sample go to the driver; the two bounds hold at any size.
     """
     key = F.col(f"`{id_col}`")
     train = F.lit(True) if train is None else train
     known = labels.select(key, F.col(f"`{label_col}`").cast("int").alias("y")).filter(train & key.isNotNull() & F.col("y").isNotNull())
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    constant = Model(np.zeros(1 << BITS), float(np.log(0.001 / 0.999)))
     if not stats.p:
-        return Model(np.zeros(1 << BITS), float(np.log(0.001 / 0.999)))
+        return constant
     prior = min(0.5, max(0.001, stats.p / stats.n))
     confirmed = sample_ids(known.filter("y = 1").select(key), stats.p, max_positive, 11)
     others = sample_ids(docs.select(key).filter(train & key.isNotNull()), docs.count(), max_unlabelled, 12)
     rows = texts_of(docs, [*confirmed, *others], id_col, text_col)
     confirmed, others = set(confirmed), set(others)
-    marks = np.array([(i in confirmed, i in others) for i, _ in rows], bool)
+    marks = np.array([(i in confirmed, i in others) for i, _ in rows], bool).reshape(-1, 2)
+    if not marks[:, 0].any():
+        return constant
     features = sparse([t for _, t in rows])
     del rows
     out = nnpu(*features, marks[:, 0], prior, marks[:, 1])

@@ -257,6 +257,12 @@ class Frame:
             raise ValueError(f"cross: both sides have {sorted(both)}; give an alias")
         return self._then("Cross", data=self.data.crossJoin(other.data), slots=(*self.slots, *other.slots), kinds=self.kinds | other.kinds, labels=self.labels | other.labels)
 
+    def meet(self, other: Frame, on: list[tuple[str | Expr, str | Expr]]) -> Frame:
+        """Every row with the rows of another frame, whose aliases are others, that are equal in each pair of expressions."""
+        from .operators.pairs import meet
+
+        return meet(self, other, on)
+
     def union(self, other: Frame, distinct: bool = False) -> Frame:
         """Rows of both, matched by name. Both have the same columns, of comparable types."""
         data = self.data.unionByName(other._aligned(self))

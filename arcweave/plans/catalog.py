@@ -679,12 +679,13 @@ def count_of_properties(g):
 @query("select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey where a.p_size = b.p_size or a.p_retailprice = b.p_retailprice")
 def any_shared_value(g):
     """Pairs of one brand of which any other property is the same."""
-    part = g.tables_of("Part")[0].data
-    brands = part.select(F.xxhash64("p_brand").alias("_id"), "p_brand").distinct()
-    h = Hypergraph(g.spark).with_nodes("Part", part).with_nodes("Brand", brands).with_edges("OF", part.withColumn("brand", F.xxhash64("p_brand")), ("Part", "p_partkey"), ("Brand", "brand"), id="p_partkey", properties=[])
-    pairs = h.nodes("Part", alias="a").expand("OF", to="Brand", as_="x").expand("OF", direction="in", to="Part", as_="b").filter(col("a.id") < col("b.id"))
-    same = fn.array(col("a.p_size") == col("b.p_size"), col("a.p_retailprice") == col("b.p_retailprice"))
-    return pairs.filter(fn.any_(same)).select(a=col("a.id"), b=col("b.id"))
+    a, b = g.nodes("Part", alias="a"), g.nodes("Part", alias="b")
+    brand, size, price = [(f"a.{c}", f"b.{c}") for c in ("p_brand", "p_size", "p_retailprice")]
+    same_size = a.meet(b, [brand, size]).filter(col("a.id") < col("b.id"))
+    # Pairs of one size as well are among the others.
+    same_price = a.meet(b, [brand, price]).filter((col("a.id") < col("b.id")) & ~fn.coalesce(col("a.p_size") == col("b.p_size"), lit(False)))
+    pairs = [x.select(a=col("a.id"), b=col("b.id")) for x in (same_size, same_price)]
+    return pairs[0].union(pairs[1])
 
 
 # --- inference

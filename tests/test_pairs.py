@@ -49,3 +49,9 @@ def test_any_shared_value_is_dealt_by_pairs(spark, monkeypatch):
     monkeypatch.setattr(pairs, "TASK", 20)
     df = QUERIES["any_shared_value"](spark, FOLDER)
     assert df.rdd.getNumPartitions() > 10 and df.count() == df.distinct().count()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+def test_cycle_by_nation_is_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK", 5)
+    assert QUERIES["cycle_by_nation"](spark, FOLDER).rdd.getNumPartitions() > 10

@@ -30,8 +30,27 @@ def read_any(spark: SparkSession, path: str, format: str = "parquet", schema: st
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def distinct(rows: DataFrame, part: int = 1 << 20) -> DataFrame:
+    """Distinct rows, dealt out by all columns to a partition for each so many bytes that the optimiser takes rows for.
+
+    Adaptive execution would join small partitions up to as few as there are cores, and the hash tables of one task would grow with the
+    table: compressed pairs of numbers take some thirty times their size in them.
+    """
+    parts = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // part
+    # Where one would do, and where there is no estimate (then it is the largest number), Spark chooses.
+    return (rows.repartition(parts, *rows.columns) if 1 < parts < 1_000_000 else rows).distinct()
+
+
+def bound_parts(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Adaptive execution joins shuffled partitions of this session up to so many bytes at most, for the same reason as in distinct()."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def star(spark: SparkSession, folder: str) -> Hypergraph:
     """The hypergraph of a folder of tables; see build_star."""
+    bound_parts(spark)
     return build_star(spark, folder)
 
 
@@ -58,7 +77,7 @@ def build_star(spark: SparkSession, folder: str) -> Hypergraph:
         .with_edges("IN_NATION", t("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), id="c_custkey", properties=[])
         .with_edges("IN_NATION", t("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), id="s_suppkey", properties=[])
         .with_edges("PLACED", t("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), id="o_orderkey", properties=["o_orderdate", "o_orderpriority"])
-        .with_edges("SUPPLIES", lines.select("l_suppkey", "l_partkey").distinct(), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
+        .with_edges("SUPPLIES", distinct(lines.select("l_suppkey", "l_partkey")), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
         .with_edges("NEXT_TURN", turns.select("turn_id", after.alias("next_id")), ("Turn", "turn_id"), ("Turn", "next_id"), id="turn_id")
         .with_hyperedges("LINE_ITEM", lines, [("order", "Order", "l_orderkey"), ("part", "Part", "l_partkey"), ("supplier", "Supplier", "l_suppkey")])
     )

@@ -95,7 +95,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decode_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids turned into texts again."""
-    out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), MODEL), MODEL)
+    out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), MODEL, packed=True, check=False), MODEL)
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -328,7 +328,7 @@ def _sent(df: DataFrame, model: str):
     return hashlib.sha256(repr(parts).encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(parts)
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None, packed: bool = False, check: bool = True) -> DataFrame:
     """doc_id, n_ids, ids, round_trip, for every row and whole text, then the columns of `keep` ({name: name in the result}).
 
     model: path of a SentencePiece model on the driver; its pieces, bounded by the vocabulary, are
@@ -336,7 +336,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     that hold U+2581 itself, which the format can't tell from a space. Null and empty texts have no
     ids and round_trip true. Ids may be null or repeated: rows are independent of one another.
     A word without end goes through the search in a bounded window, as all do. Columns not in `keep` are ignored,
-    whatever their names; an empty table gives an empty result.
+    whatever their names; an empty table gives an empty result. packed: ids are a binary of little-endian 32-bit numbers, which
+    passes between Python and the JVM as it is, and not number by number. Without check, round_trip is left out.
     """
     bound_batches(docs.sparkSession)
     digest, parts = _sent(docs, model)
@@ -350,29 +351,42 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 got = [codec.encode(t) for t in texts]
-                same = [codec.decode(g.tolist()) == (t or "") for g, t in zip(got, texts, strict=True)]
                 sizes = np.array([len(g) for g in got], np.int32)
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                flat = np.concatenate(got) if got else np.empty(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same), *part.columns[2:]], ["doc_id", "n_ids", "ids", "round_trip", *more.values()])
+                if packed:
+                    ids = pa.array([g.astype("<i4", copy=False).tobytes() for g in got], pa.binary())
+                else:
+                    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    flat = np.concatenate(got) if got else np.empty(0, np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                same = [pa.array([codec.decode(g.tolist()) == (t or "") for g, t in zip(got, texts, strict=True)])] if check else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, *same, *part.columns[2:]], ["doc_id", "n_ids", "ids", *["round_trip"][: len(same)], *more.values()])
         codec.rest()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in more.items()])
     kind = rows.schema["doc_id"].dataType.simpleString()
     kinds = "".join(f", `{n}` {rows.schema[n].dataType.simpleString()}" for n in more.values())
-    return rows.mapInArrow(run, f"doc_id {kind}, n_ids int, ids array<int>, round_trip boolean{kinds}")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_ids int, ids {'binary' if packed else 'array<int>'}{', round_trip boolean' if check else ''}{kinds}")
+
+
+def id_lists(column: pa.Array) -> Iterator[list[int] | None]:
+    """The ids of each row of a column of lists or of packed ids, taken from Arrow's buffers."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return (np.frombuffer(x.as_buffer(), "<i4").tolist() if x.is_valid else None for x in column)
+    return (x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else None for x in column)
 
 
 def decode_documents(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text: the texts of lists of ids. Null ids give a null text, an empty list an empty one."""
+    """doc_id, text: the texts of ids, in lists or packed. Null ids give a null text, none an empty one."""
+    bound_batches(coded.sparkSession)
     digest, parts = _sent(coded, model)
 
     def run(batches):
         codec = kept(f"codec {digest}", lambda: Codec(*parts.value))
         for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [None if x is None else codec.decode(x) for x in id_lists(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = coded.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

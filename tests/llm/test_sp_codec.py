@@ -90,3 +90,18 @@ def test_documents_and_back(spark):
     back = {r.doc_id: r.text for r in decode_documents(out, MODEL).collect()}
     assert back[1] == back[2] == "" and back[4] == "x " * 50_000 and back[None] == "null id"
     assert encode_documents(df.limit(0), MODEL).count() == 0
+
+
+def test_packed_ids_are_the_listed_ones_and_give_the_texts_again(spark):
+    rows = [(1, None), (2, ""), (3, "▁"), (4, "x " * 5_000), (None, "null id"), (5, "same"), (5, "same")] + [(10 + i, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    packed, listed = encode_documents(df, MODEL, packed=True, check=False), encode_documents(df, MODEL)
+    assert packed.columns == ["doc_id", "n_ids", "ids"] and packed.schema["ids"].dataType.simpleString() == "binary"
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    for p, x in zip(sorted(packed.collect(), key=key), sorted(listed.collect(), key=key), strict=True):
+        assert (p.doc_id, p.n_ids, memoryview(bytes(p.ids)).cast("i").tolist()) == (x.doc_id, x.n_ids, x.ids)
+    back = {i: t or "" for i, t in rows if i != 3}
+    for coded in (packed, listed):
+        assert {r.doc_id: r.text for r in decode_documents(coded, MODEL).collect() if r.doc_id != 3} == back
+    nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in decode_documents(nulls, MODEL).collect()} == {1: None, 2: ""}
